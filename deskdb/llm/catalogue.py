@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["exact_dedup", "shard_tree", "mixing"]
+MODULES = ["shard_tree", "mixing", "media_png", "sstable", "exact_dedup", "packing"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
