@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["shard_tree", "mixing", "media_png", "sstable", "exact_dedup", "packing", "simhash", "quality", "substring_dedup"]
+MODULES = ["shard_tree", "mixing", "media_png", "sstable", "exact_dedup", "packing", "simhash", "quality", "substring_dedup", "warc"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -80,3 +80,18 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame
     # tasks + groups rows: a bound that doesn't follow the rows
     joined = placed.join(F.broadcast(shifts), F.col(group).eqNullSafe(F.col("__dd_group")) & (F.col("__dd_task") == F.col("__dd_t")))
     return joined.withColumn(out, F.col(at) + F.col("__dd_shift")).drop(at, "__dd_task", "__dd_group", "__dd_t", "__dd_shift")
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column], repeated: bool, best: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (expressions over docs; null equals null) are a row of ``kept``, with docs' columns.
+
+    ``repeated``: whether rows of docs may agree on the keys; of those the one with the greatest ``best`` stays. The keys' side is built into
+    the hash tables, so texts are shuffled once and never sorted.
+    """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__dd_row"), *[c.alias(f"__dd_{k}") for k, c in keys.items()], best.alias("__dd_best"))
+    kept = kept.select(*[F.col(k).alias(f"__dd_k_{k}") for k in keys]).hint("shuffle_hash")
+    on = [F.col(f"__dd_{k}").eqNullSafe(F.col(f"__dd_k_{k}")) for k in keys]
+    found = own.join(kept, on, "left_semi")
+    if repeated:
+        found = found.groupBy(*[f"__dd_{k}" for k in keys]).agg(F.max_by("__dd_row", "__dd_best").alias("__dd_row"))
+    return found.select("__dd_row.*")

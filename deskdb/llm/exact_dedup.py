@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import WHITE, documents, partitions, saved, text_of
+from deskdb.llm.common import WHITE, documents, keep_rows, partitions, saved, text_of
 
 #: Distinct digests that an index part holds at most, on average; an index part is some 2 MB.
 PART_KEYS = 32_768
@@ -199,6 +199,14 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "
     return found.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "seen_before")
 
 
+def without_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that exact_dedup keeps, with all their columns. Of rows with one doc_id and equal texts the longest stays."""
+    found = saved(exact_dedup(docs, text=text).select("doc_id", "text_sha256", "kept"), "exact")
+    repeated = bool(found.groupBy("doc_id", "text_sha256").count().filter("count > 1").take(1))
+    sha = F.sha2(F.translate(text_of(text), WHITE, ""), 256)
+    return keep_rows(docs, found.filter("kept"), {"doc_id": F.col("doc_id").cast("long"), "text_sha256": sha}, repeated, F.struct(F.length(text_of(text)), text_of(text)))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("seen_before")
 

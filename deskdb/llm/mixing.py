@@ -89,7 +89,7 @@ def weigh(sources: list) -> dict:
 
 
 def mix(docs: DataFrame, members: Column | None = None, share: float = 1.5, most: int = 2, weights: dict | None = None, seed: int = 11) -> DataFrame:
-    """One row per row of ``docs``: doc_id, rid, size, pattern, source (null in a mixed pattern), source_size, target, taken, passes.
+    """One row per row of ``docs``: doc_id, crc (of the text), rid, size, pattern, source (null in a mixed pattern), source_size, target, taken, passes.
 
     ``members``: an array of sources, several for a document in overlapping sources; by default the array of its one source. A null
     source is a source of its own. size: words (null text: 0). taken = passes * size, passes 0 to ``most``. A repeated row counts as a document
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, members: Column | None = None, share: float = 1.5, most
     spark = docs.sparkSession
     members = members if members is not None else F.array("source")
     crc = F.crc32(text_of().cast("binary"))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("pattern"), words().alias("size"), F.xxhash64("doc_id", crc, F.lit(seed)).alias("u"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("pattern"), words().alias("size"), crc.alias("crc"), F.xxhash64("doc_id", crc, F.lit(seed)).alias("u"))
     rows = saved(rows.withColumn("slice", F.shiftrightunsigned("u", 64 - SLICE_BITS).cast("int")).withColumn("u", F.shiftrightunsigned("u", 1)), "mix")
     sums = saved(rows.groupBy("pattern", "slice").agg(F.sum("size").alias("tokens")), "mix-slices")
     offers = {tuple(r["pattern"]): int(r["tokens"]) for r in sums.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).collect()}
@@ -145,7 +145,18 @@ def mix(docs: DataFrame, members: Column | None = None, share: float = 1.5, most
     joined = rows.join(info, "pattern")
     one = lambda m: F.when((F.col("size") > 0) & ((F.col("slice") < m[0]) | ((F.col("slice") == m[0]) & (place <= F.struct(m[1].alias("u"), m[2].alias("size"), m[3].alias("rid")))) | (F.col("rid") == m[4])), 1).otherwise(0)
     times = sum((one(F.col("passes")[k]) for k in range(most)), F.lit(0))
-    return joined.withColumn("times", times).select("doc_id", "rid", "pattern", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), F.col("times").alias("passes"))
+    return joined.withColumn("times", times).select("doc_id", "crc", "rid", "pattern", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), F.col("times").alias("passes"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of the mix, with all columns of ``docs``: a row as often as the mix takes it."""
+    key = {"__dd_id": F.col("doc_id").cast("long"), "__dd_crc": F.crc32(text_of().cast("binary"))}
+    found = saved(mix(docs, **how).groupBy(F.col("doc_id").alias("__dd_k"), F.col("crc").alias("__dd_c")).agg(F.sum("passes").cast("int").alias("__dd_n"), F.count(F.lit(1)).alias("__dd_rows")), "mixed")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__dd_row"), *[c.alias(k) for k, c in key.items()])
+    taken = own.join(found.filter("__dd_n > 0").hint("shuffle_hash"), F.col("__dd_id").eqNullSafe(F.col("__dd_k")) & (F.col("__dd_crc") == F.col("__dd_c")))
+    if found.filter("__dd_rows > 1").take(1):  # repeated rows share what the mix takes of them
+        taken = taken.groupBy("__dd_id", "__dd_crc", "__dd_n").agg(F.min("__dd_row").alias("__dd_row"))
+    return taken.withColumn("__dd_k", F.explode(F.sequence(F.lit(1), F.col("__dd_n")))).select("__dd_row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,20 +129,14 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return fit(np.array([r[2] for r in got]), np.array([r[1] for r in got], int))
 
 
-def scored(docs: DataFrame, ranking: Ranking, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` of every row of ``docs``, with score and predicted."""
-    kinds = dict(docs.dtypes)
+def with_scores(docs: DataFrame, ranking: Ranking, score: str, text: str = "text") -> DataFrame:
+    """``docs`` with the column ``score``; only the texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            score = ranking.score(np.array([text_features(t) for t in b.column("__text").to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(score), pa.array((score >= CUT).astype(np.int32))], [*columns, "__score", "__predicted"])
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(ranking.score(np.array([text_features(t) for t in texts.to_pylist()]).reshape(len(texts), -1)), pa.float64())
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    made = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text}`").alias("__text")).mapInArrow(run, f"{schema}, __score double, __predicted int")
-    return made
+    return docs.withColumn(score, run(F.coalesce(F.col(text), F.lit(""))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
@@ -154,7 +148,8 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
     ranking = train(docs, labels, text=text)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
-    return scored(ids, ranking, ["doc_id"]).select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    made = with_scores(ids, ranking, "score").select("doc_id", held.alias("held_out"), "score")
+    return made.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

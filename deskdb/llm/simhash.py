@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import documents, partitions, saved
+from deskdb.llm.common import documents, keep_rows, partitions, saved, text_of
 from deskdb.llm.components import components
 
 SEED, WORDS, BITS = 42, 4, 4
@@ -149,13 +149,14 @@ def simhash(texts: list[str | None], words: int = WORDS) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long) for each row."""
+    """doc_id, crc (of the text), fp (the fingerprint's bits as a signed long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(simhash(b.column("text").to_pylist(), words).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("crc"), pa.array(simhash(b.column("text").to_pylist(), words).view(np.int64))], ["doc_id", "crc", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text_of(text).cast("binary")).alias("crc"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, crc long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -301,12 +302,8 @@ def fingerprint_links(classes: DataFrame, n_classes: int, most: int = BITS, tile
     return units.repartition(partitions(classes.sparkSession), "unit").sortWithinPartitions("unit").mapInArrow(_search_units(most), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, most: int = BITS, text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for each row of ``docs``.
-
-    Null and wordless texts have fingerprint zero and link like any other. Null doc_ids are never a component's id unless it has
-    no other. Rows repeated in full share a component. An empty table gives an empty result; other columns are ignored.
-    """
+def component_rows(docs: DataFrame, most: int = BITS, text: str = "text") -> DataFrame:
+    """doc_id, crc, fp, component_id for each row of ``docs``."""
     prints = saved(fingerprints(docs, text), "fingerprints")
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(fingerprint_links(classes.select("fp"), classes.count(), most))
@@ -314,7 +311,24 @@ def simhash_components(docs: DataFrame, most: int = BITS, text: str = "text") ->
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     of = classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(of, "fp").select("doc_id", "crc", "fp", "component_id")
+
+
+def simhash_components(docs: DataFrame, most: int = BITS, text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable) for each row of ``docs``.
+
+    Null and wordless texts have fingerprint zero and link like any other. Null doc_ids are never a component's id unless it has
+    no other. Rows repeated in full share a component. An empty table gives an empty result; other columns are ignored.
+    """
+    return component_rows(docs, most, text).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, most: int = BITS, text: str = "text") -> DataFrame:
+    """Of each component of ``docs`` the row with the smallest doc_id, with all its columns."""
+    found = saved(component_rows(docs, most, text), "near")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "fp", "crc")).alias("f")).select("f.doc_id", "f.crc")
+    repeated = bool(found.groupBy("doc_id", "crc").count().filter("count > 1").take(1))
+    return keep_rows(docs, first, {"doc_id": F.col("doc_id").cast("long"), "crc": F.crc32(text_of(text).cast("binary"))}, repeated, text_of(text))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
