@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from deskdb import types as K
@@ -28,16 +28,16 @@ class Style:
     braces: bool = False
 
 
-@F.pandas_udf(T.StringType())
-def double_text(x: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def double_text(x: pa.Array) -> pa.Array:
     """16 significant digits, without trailing zeros, as C's %g. Neither printf nor cast of the JVM writes so."""
-    return x.map(lambda v: f"{v:.16g}", na_action="ignore")
+    return pa.array([None if v is None else f"{v:.16g}" for v in x.to_pylist()], pa.string())
 
 
-@F.pandas_udf(T.StringType())
-def single_text(x: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def single_text(x: pa.Array) -> pa.Array:
     """8 significant digits, without trailing zeros."""
-    return x.map(lambda v: f"{v:.8g}", na_action="ignore")
+    return pa.array([None if v is None else f"{v:.8g}" for v in x.to_pylist()], pa.string())
 
 
 def guid(hexed: Column, braces: bool) -> Column:

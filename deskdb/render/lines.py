@@ -96,7 +96,7 @@ def write_delimited(df: DataFrame, path: str, o: Delimited = Delimited(), schema
         for b in batches:
             if first and b.num_rows:
                 first = False
-                yield pa.RecordBatch.from_arrays([pa.array([head])], ["line"])
+                yield pa.RecordBatch.from_arrays([pa.array([head], b.schema.field(0).type)], schema=b.schema)
             yield b
 
     lines.mapInArrow(with_head, "line string").write.text(path, lineSep=o.row_end)
