@@ -11,14 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 
+#: Folders of sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a folder of this session's own."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a folder of this session's own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="deskdb-")
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+        app = spark.sparkContext.applicationId
+        at = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="deskdb-")
+    return (at if "://" in at else f"file://{at}" if at.startswith("/") else at).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -50,7 +50,7 @@ def _level_hash(a: np.ndarray, b: np.ndarray, level: int, m: int) -> np.ndarray:
 
 
 def _words(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    w = digests.view("<u8").reshape(-1, 4)
+    w = np.ascontiguousarray(digests).view("<u8").reshape(-1, 4)
     return w[:, 0].copy(), w[:, 1] | np.uint64(1)
 
 

@@ -80,9 +80,11 @@ def decode_png(blob: bytes) -> np.ndarray:
             raise ValueError("chunk cut short")
         (n,) = struct.unpack_from(">I", blob, at)
         kind, data = blob[at + 4 : at + 8], blob[at + 8 : at + 8 + n]
-        if len(data) < n or struct.unpack_from(">I", blob, at + 8 + n)[0] != zlib.crc32(kind + data):
+        if at + 12 + n > len(blob) or struct.unpack_from(">I", blob, at + 8 + n)[0] != zlib.crc32(kind + data):
             raise ValueError(f"checksum of {kind!r} is wrong")
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("wrong header")
             head = struct.unpack(">IIBBBBB", data)
         elif kind == b"IDAT":
             parts.append(data)

@@ -36,7 +36,7 @@ def text_features(text: str | None) -> list[float]:
     """The features of a whole text, taken in slices so that memory stays bounded; null counts as empty."""
     raw = (text or "").encode()
     counts, words, repeats, fresh, odd = np.zeros(256, np.int64), 0, 0, 0.0, 0
-    lo = 0
+    lo, held, last = 0, [], b""
     while lo < len(raw):
         hi = min(len(raw), lo + SLICE)
         if hi < len(raw) and (at := raw.rfind(b" ", lo, hi)) > lo:
@@ -45,11 +45,16 @@ def text_features(text: str | None) -> list[float]:
         counts += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
         own = part.split()
         words += len(own)
-        repeats += sum(map(bytes.__eq__, own, own[1:]))
-        for k in range(0, len(own), WINDOW_WORDS):
-            fresh += len(set(own[k : k + WINDOW_WORDS]))
+        repeats += sum(map(bytes.__eq__, own, own[1:])) + (own[:1] == [last])
         odd += sum(map(bytes.isupper, own))
+        last = own[-1] if own else last
+        held += own
+        whole = len(held) // WINDOW_WORDS * WINDOW_WORDS
+        for k in range(0, whole, WINDOW_WORDS):
+            fresh += len(set(held[k : k + WINDOW_WORDS]))
+        held = held[whole:]
         lo = hi
+    fresh += len(set(held))
     n, w = max(1, len(raw)), max(1, words)
     shares = [counts[list(c)].sum() / n for c in CLASSES]
     return [*shares, counts[128:].sum() / n, repeats / w, fresh / w, min(50.0, len(raw) / w) / 10, np.log1p(words) / 10, odd / w, float(words == 0)]
@@ -89,7 +94,7 @@ class Ranking:
 
 def fit(x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS, seed: int = 1) -> Ranking:
     """Bradley-Terry weights from rows of features and labels. Without both labels, all strengths are 0 and all scores CUT or more."""
-    x, y = np.asarray(x, float).reshape(len(y), -1), np.asarray(y)
+    x, y = np.asarray(x, float).reshape(len(y), -1 if len(y) else len(FEATURES)), np.asarray(y)
     mean = x.mean(0) if len(x) else np.zeros(len(FEATURES))
     scale = np.maximum(x.std(0), 1e-3) if len(x) else np.ones(len(FEATURES))
     z = np.clip((x - mean) / scale, -20, 20) if len(x) else x

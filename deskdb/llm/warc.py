@@ -70,7 +70,7 @@ def read_html(page: str) -> tuple[str | None, str, list[tuple[str, str]]]:
             in_title = not m["end"]
         if tag in _BREAKS:
             out.append("\n")
-        elif m["hidden"]:
+        elif m["hidden"] or tag in ("img", "input", "button", "select"):
             out.append(" ")
     tail = page[at:]
     words(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", tail) else tail)
@@ -131,7 +131,8 @@ def serialise(record: dict) -> bytes:
         head.append(("WARC-Target-URI", _field(record["target_uri"])))
     if record.get("refers_to"):
         head += [("WARC-Refers-To", record["refers_to"]), ("WARC-Refers-To-Date", record["warc_date"])]
-        head += [("WARC-Refers-To-Target-URI", _field(record["target_uri"]))] * bool(record.get("target_uri"))
+        if record.get("target_uri"):
+            head.append(("WARC-Refers-To-Target-URI", _field(record["target_uri"])))
         head += [("WARC-Source-Block-Digest", record["source_block_digest"]), ("WARC-Source-Payload-Digest", record["source_payload_digest"])]
     head += [("WARC-Block-Digest", record["block_digest"])] + [("WARC-Payload-Digest", d) for d in [record.get("payload_digest")] if d]
     head += [("Content-Type", record["content_type"]), ("Content-Length", str(len(record["block"])))]
