@@ -310,7 +310,7 @@ def component_rows(docs: DataFrame, most: int = BITS, text: str = "text") -> Dat
     linked = roots.withColumnRenamed("node", "fp").join(classes, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of = classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of = saved(classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "class-components")  # a table: AQE splits hot fingerprints
     return prints.join(of, "fp").select("doc_id", "crc", "fp", "component_id")
 
 
