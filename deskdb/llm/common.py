@@ -46,6 +46,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes for each core below which an input is dealt over the cores before Python works on it.
+SMALL_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input, which may be a single file, over all cores; others as they are, as their files make tasks enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL_BYTES * cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import documents, saved
+from deskdb.llm.common import documents, saved, spread
 
 UNIT, WIDTH = 576, 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -169,7 +169,7 @@ def to_media(docs: DataFrame, width: int = WIDTH, row_filter: int | None = 0, le
                 blobs = [encode_png(payload_of(t), width, row_filter, level) for t in some]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 256], pa.int64()), pa.array([len((t or "").encode()) for t in some], pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(make, "doc_id long, n_bytes long, media binary")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(make, "doc_id long, n_bytes long, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:

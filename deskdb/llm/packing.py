@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from deskdb.llm.common import documents, numbered, saved
+from deskdb.llm.common import documents, numbered, saved, spread
 from deskdb.llm.tokens import encoded, public_path
 
 WINDOW = 2048
@@ -45,7 +45,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDO
             if rows:
                 yield _batch(rows)
 
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    made = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
     return made.withColumn("piece", F.monotonically_increasing_id())
 
 
@@ -70,19 +70,27 @@ def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 1000) -> np.ndarray:
-    """x >= 0 with least |a x - b|: the active-set method of Lawson and Hanson."""
+    """x >= 0 with least |a x - b|: the active-set method of Lawson and Hanson, on the normal equations."""
     x, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     gram, rhs = a.T @ a, a.T @ b
     tol = 1e-9 * max(1.0, float(np.abs(rhs).max(initial=0)))
+
+    def solved(at: np.ndarray) -> np.ndarray:
+        try:
+            return np.linalg.solve(gram[np.ix_(at, at)], rhs[at])
+        except np.linalg.LinAlgError:
+            return np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+
     for _ in range(steps):
-        w = np.where(on, -np.inf, rhs - gram @ x)
+        now = np.flatnonzero(on)
+        w = np.where(on, -np.inf, rhs - gram[:, now] @ x[now])
         j = int(np.argmax(w))
         if w[j] <= tol:
             break
         on[j] = True
         while True:
             at = np.flatnonzero(on)
-            s = np.linalg.lstsq(a[:, at], b, rcond=None)[0]
+            s = solved(at)
             if (s > tol * 1e-3).all():
                 break
             low = s <= tol * 1e-3

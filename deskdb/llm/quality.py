@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import documents
+from deskdb.llm.common import documents, spread
 
 MAX_LABELLED = 20_000
 MAX_PAIRS = 200_000
@@ -153,7 +153,7 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
     ranking = train(docs, labels, text=text)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
-    made = with_scores(ids, ranking, "score").select("doc_id", held.alias("held_out"), "score")
+    made = with_scores(spread(ids), ranking, "score").select("doc_id", held.alias("held_out"), "score")
     return made.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import documents, keep_rows, partitions, saved, text_of
+from deskdb.llm.common import documents, keep_rows, partitions, saved, spread, text_of
 from deskdb.llm.components import components
 
 SEED, WORDS, BITS = 42, 4, 4
@@ -156,7 +156,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> Dat
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("crc"), pa.array(simhash(b.column("text").to_pylist(), words).view(np.int64))], ["doc_id", "crc", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text_of(text).cast("binary")).alias("crc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, crc long, fp long")
+    return spread(rows).mapInArrow(run, "doc_id long, crc long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import documents
+from deskdb.llm.common import documents, spread
 
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "deskdb:warc")
@@ -184,7 +184,7 @@ def _response(row: dict) -> list[dict]:
 
 def responses(pages: DataFrame) -> DataFrame:
     """A response record for each page (page_id, url, html). Null html is an empty body, a null url leaves the target out."""
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_batches(SOURCE, _response), _schema(SOURCE))
+    return spread(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).mapInArrow(_batches(SOURCE, _response), _schema(SOURCE))
 
 
 def derive(records: DataFrame) -> DataFrame:
