@@ -33,7 +33,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDO
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows, size = batch.column("doc_id").to_pylist(), [], 0
-            for k, tokens in encoded(batch.column("text").to_pylist(), tokenizer):
+            for k, tokens in encoded(batch.column("text"), tokenizer):
                 tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
                 for lo in range(0, len(tokens), window):
                     part = tokens[lo : lo + window]

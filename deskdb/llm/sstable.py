@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
         name, tmp = f"{root}/shard-{shard:06d}.sst", f"{root}/.part-{shard:06d}-{task.taskAttemptId()}"
         out = writer = None
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             if writer is None and ids:
                 out = store.open_output_stream(tmp)
                 writer = SstWriter(out, end_id, width)

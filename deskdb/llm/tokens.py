@@ -15,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words remembered by a Python worker; beyond it the memory is emptied (some 200 MB).
-MEMO_WORDS = 700_000
+#: Words remembered by a Python worker (some 170 MB); beyond it the later half is forgotten, as common words come early.
+MEMO_WORDS = 550_000
+#: Ids remembered for each of these words on average, at most.
+MEMO_IDS = 16
 #: Characters of text encoded at a time.
 STEP_CHARS = 2_000_000
 JOINED = 64
+SLICE_ROWS = 1200
 
 
 def public_path(name: str = "byte_bpe_50k.json") -> str:
@@ -63,6 +66,16 @@ class WordEncoder:
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
         self.begins, self.lengths, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def trim(self) -> None:
+        """Forgets the words learned later, down to half of MEMO_WORDS."""
+        keep = min(MEMO_WORDS // 2, self.n)
+        if keep and int(self.begins[keep - 1] + self.lengths[keep - 1]) <= MEMO_WORDS * MEMO_IDS // 2:
+            self.memo = {w: n for w, n in self.memo.items() if n < keep}
+            self.bare = {w: n for w, n in self.bare.items() if n < keep}
+            self.n, self.used = keep, int(self.begins[keep - 1] + self.lengths[keep - 1])
+        else:
+            self.forget()
+
     def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         """Adds words; the number of the first."""
         while self.used + len(ids) > len(self.flat):
@@ -93,8 +106,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in one array, and how many each has."""
-        if len(self.memo) + len(self.bare) > MEMO_WORDS:
-            self.forget()
+        if self.n > MEMO_WORDS or self.used > MEMO_WORDS * MEMO_IDS:
+            self.trim()
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         words = split.flatten().dictionary_encode()
         bounds = split.offsets.to_numpy().astype(np.int64)
@@ -146,8 +159,12 @@ def segments(text: str, size: int = STEP_CHARS) -> list[str]:
     return [*out, text[lo:]]
 
 
-def encoded(texts: list[str | None], path: str) -> Iterator[tuple[int, np.ndarray]]:
+def encoded(texts: list[str | None] | pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its ids) for each text in order; null counts as empty. Memory is bounded by STEP_CHARS and the longest text's ids."""
+    if isinstance(texts, pa.Array):  # Python strings of a slice at a time
+        for at in range(0, len(texts), SLICE_ROWS):
+            yield from ((at + k, ids) for k, ids in encoded(texts.slice(at, SLICE_ROWS).to_pylist(), path))
+        return
     encoder, lo = WordEncoder.of(path), 0
     while lo < len(texts):
         hi, chars = lo, 0
