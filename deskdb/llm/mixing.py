@@ -5,21 +5,28 @@
 2. On the driver, over patterns and sources only: every source gets a token quota; every pattern offers its tokens once for
    each pass, pass k (0, 1, ...) at cost k, so that repeating is convex in cost; a min-cost maximum flow routes capacity
    to quotas, taking fresh documents before repeats.
-3. In each pass a pattern's documents are taken in seeded order while they fit its flow; the tokens that remain are met by the
-   one untaken document whose size comes nearest. Only the slice in which the order is cut is sorted (1/4096 of a
-   pattern's rows); all other rows are decided by their hash alone, so a hot source needs neither a shuffle nor one task.
+3. In each pass a pattern's documents are taken in seeded order, past those larger than what is left of its flow, until none fits;
+   the tokens that remain are met by the one untaken document whose size comes nearest. Only slices in which a document
+   doesn't fit are walked row by row (1/4096 of a pattern's rows, or few rows); all other rows are decided by their slice
+   and size alone, so a hot source needs neither a shuffle nor one task.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from deskdb.llm.common import documents, saved, text_of
 
 #: Slices of the seeded order, by the hash's leading bits.
 SLICE_BITS = 12
+#: Rows behind a slice that are walked together with it.
+ROWS_TOGETHER = 4_096
+#: Places from (lo_u, lo_size, lo_rid) to (hi_u, hi_size, hi_rid), both included, in the seeded order; documents of ``most`` words at most.
+SPAN = "struct<lo_u: long, lo_size: long, lo_rid: long, hi_u: long, hi_size: long, hi_rid: long, most: long>"
+SPANS = f"n int, span {SPAN}, tokens long"
 #: Rows of the per-pattern tables up to which they are broadcast; beyond it they are joined by a shuffle (AQE splits hot keys).
 BROADCAST_ROWS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,6 +95,29 @@ def weigh(sources: list) -> dict:
     return {s: float((3, 1, 2)[k % 3]) for k, s in enumerate(named)}
 
 
+def _span(lo: int, hi: int, most: int) -> tuple:
+    """The slices from ``lo`` to before ``hi``, as a span."""
+    return (lo << 63 - SLICE_BITS, -1, -1, (hi << 63 - SLICE_BITS) - 1, (1 << 63) - 1, (1 << 63) - 1, most)
+
+
+def _first_fits(rows: pd.DataFrame) -> pd.DataFrame:
+    """Takes rows in seeded order, past those that don't fit what is left; a new span begins where one doesn't fit that is within the span's size."""
+    rows = rows.sort_values(["u", "size", "rid"])
+    n, left, out = int(rows["n"].iloc[0]), int(rows["rest"].iloc[0]), []
+    most, first, last, tokens = left, None, None, 0
+    for place in zip(rows["u"].tolist(), rows["size"].tolist(), rows["rid"].tolist()):
+        size = place[1]
+        if left < size <= most:
+            if tokens:
+                out.append((n, (*first, *last, most), tokens))
+            most, first, tokens = left, None, 0
+        if size <= most:
+            first, last, left, tokens = first or place, place, left - size, tokens + size
+    if tokens:
+        out.append((n, (*first, *last, most), tokens))
+    return pd.DataFrame(out, columns=["n", "span", "tokens"])
+
+
 def mix(docs: DataFrame, members: Column | None = None, share: float = 1.5, most: int = 2, weights: dict | None = None, seed: int = 11) -> DataFrame:
     """One row per row of ``docs``: doc_id, crc (of the text), rid, size, pattern, source (null in a mixed pattern), source_size, target, taken, passes.
 
@@ -111,39 +141,51 @@ def mix(docs: DataFrame, members: Column | None = None, share: float = 1.5, most
     flow = min_cost_flow(offers, {s: int(t + 0.5) for s, t in target.items()}, most)
 
     held = lambda data, schema: (lambda d: F.broadcast(d) if len(data) <= BROADCAST_ROWS else d)(spark.createDataFrame(data, schema))
-    plan = [(list(p), k, sum(flow.get((p, k, s), 0) for s in p)) for p in offers for k in range(most)]
-    plan = [x for x in plan if x[2]]
-    plans = held(plan, "pattern array<string>, pass int, flow long")
-    # the slice in which each pattern's order is cut, and the tokens before it
-    order = W.partitionBy("pattern").orderBy("slice")
-    upto = sums.withColumn("end", F.sum("tokens").over(order))
-    cut = upto.join(plans, "pattern").filter("end > flow").groupBy("pattern", "pass", "flow").agg(F.min(F.struct("slice", (F.col("end") - F.col("tokens")).alias("start"))).alias("c"))
-    cuts = held([(r["pattern"], r["pass"], r["flow"], r["c"]["slice"], r["c"]["start"]) for r in cut.collect()], "pattern array<string>, pass int, flow long, cut int, start long")
-    # within that slice, row by row
-    inside = rows.join(cuts, "pattern").filter("slice = cut and size > 0")
-    run = F.sum("size").over(W.partitionBy("pattern", "pass").orderBy("u", "size", "rid").rowsBetween(W.unboundedPreceding, 0))
-    inside = inside.withColumn("end", run + F.col("start")).filter("end <= flow").groupBy("pattern", "pass").agg(F.max(F.struct("u", "size", "rid")).alias("last"), F.max("end").alias("end"))
-    ends = {(tuple(r["pattern"]), r["pass"]): r for r in inside.collect()}
-    at = []
-    for r in cuts.collect():
-        e = ends.get((tuple(r["pattern"]), r["pass"]))
-        at.append((r["pattern"], r["pass"], r["cut"], *(e["last"] if e else (-1, -1, -1)), r["flow"] - (e["end"] if e else r["start"])))
-    found = {(tuple(r[0]), r[1]) for r in at}
-    at += [(p, k, 1 << SLICE_BITS, -1, -1, -1, 0) for p, k, _ in plan if (tuple(p), k) not in found]  # the whole pattern is taken
-    marks = held(at, "pattern array<string>, pass int, cut int, last_u long, last_size long, last_rid long, rest long")
-    place = F.struct("u", "size", "rid")
-    taken = F.col("size").isNotNull() & (F.col("size") > 0) & ((F.col("slice") < F.col("cut")) | ((F.col("slice") == F.col("cut")) & (place <= F.struct("last_u", "last_size", "last_rid"))))
+    plan = [(p, k, n) for p in offers for k in range(most) if (n := sum(flow.get((p, k, s), 0) for s in p))]
+    # spans of the seeded order of each pattern and pass, of which the documents up to some size are taken; what remains; the next slice
+    spans: dict = {(p, k): [] for p, k, _ in plan}
+    rest, ahead = {(p, k): n for p, k, n in plan}, {(p, k): 0 for p, k, _ in plan}
+    going = list(spans)
+    while going:
+        openings = held([(n, list(key[0]), ahead[key], rest[key]) for n, key in enumerate(going)], "n int, pattern array<string>, ahead int, rest long")
+        fits = rows.join(openings, "pattern").filter("size > 0 and size <= rest and slice >= ahead")
+        upto = fits.groupBy("n", "rest", "slice").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("many"))
+        order = W.partitionBy("n").orderBy("slice")
+        upto = upto.withColumn("end", F.sum("tokens").over(order)).withColumn("count", F.sum("many").over(order))
+        first = upto.groupBy("n").agg(F.min(F.when(F.col("end") > F.col("rest"), F.struct("slice", (F.col("end") - F.col("tokens")).alias("start"), "count"))).alias("c"), F.max("end").alias("end"))
+        cut = {}
+        for r in first.collect():
+            key, c = going[r["n"]], r["c"]
+            spans[key].append(_span(ahead[key], c["slice"] if c else 1 << SLICE_BITS, rest[key]))
+            rest[key] -= c["start"] if c else r["end"]
+            if c and rest[key]:
+                cut[r["n"]] = c
+        if not cut:
+            break
+        # on from the slice that doesn't fit whole, row by row: that slice, and those behind it while there are few rows
+        cuts = held([(n, c["slice"], c["count"]) for n, c in cut.items()], "n int, cut int, seen long")
+        last = upto.join(cuts, "n").filter(f"slice = cut or (slice > cut and count <= seen + {ROWS_TOGETHER})").groupBy("n").agg(F.max("slice").alias("last"))
+        lasts = {r["n"]: r["last"] for r in last.collect()}
+        inner = held([(n, list(going[n][0]), c["slice"], lasts[n], rest[going[n]]) for n, c in cut.items()], "n int, pattern array<string>, cut int, last int, rest long")
+        inside = rows.join(inner, "pattern").filter("size > 0 and size <= rest and slice between cut and last").select("n", "u", "size", "rid", "rest")
+        for r in inside.groupBy("n").applyInPandas(_first_fits, SPANS).collect():
+            key = going[r["n"]]
+            spans[key].append(tuple(r["span"]))
+            rest[key] -= r["tokens"]
+        for n in cut:
+            ahead[going[n]] = lasts[n] + 1
+        going = [going[n] for n in sorted(cut) if rest[going[n]] and ahead[going[n]] < 1 << SLICE_BITS]
     # the untaken document that comes nearest to what is left, if it is nearer than none
-    near = rows.join(marks.filter("rest > 0"), "pattern").filter(~taken & (F.col("size") > 0) & (F.col("size") < 2 * F.col("rest")))
+    place = F.struct("u", "size", "rid")
+    within = lambda all_: F.exists(all_, lambda m: (F.col("size") <= m["most"]) & (place >= F.struct(m["lo_u"].alias("u"), m["lo_size"].alias("size"), m["lo_rid"].alias("rid"))) & (place <= F.struct(m["hi_u"].alias("u"), m["hi_size"].alias("size"), m["hi_rid"].alias("rid"))))
+    short = held([(list(p), k, rest[p, k], spans[p, k]) for p, k in spans if rest[p, k]], f"pattern array<string>, pass int, rest long, spans array<{SPAN}>")
+    near = rows.join(short, "pattern").filter((F.col("size") > 0) & (F.col("size") < 2 * F.col("rest")) & ~within(F.col("spans")))
     near = near.groupBy("pattern", "pass").agg(F.min(F.struct(F.abs(F.col("size") - F.col("rest")).alias("d"), "u", "size", "rid")).alias("n"))
     extra = {(tuple(r["pattern"]), r["pass"]): r["n"]["rid"] for r in near.collect()}
-    wide: dict = {tuple(p): [[0, -1, -1, -1, -1] for _ in range(most)] for p in offers}
-    for p, k, c, u, z, rid, _ in at:
-        wide[tuple(p)][k] = [c, u, z, rid, extra.get((tuple(p), k), -1)]
-    info = [(list(p), p[0] if len(p) == 1 else None, sizes[p[0]] if len(p) == 1 else offers[p], float(target[p[0]]) if len(p) == 1 else None, w) for p, w in wide.items()]
-    info = held(info, "pattern array<string>, source string, source_size long, target double, passes array<array<long>>")
+    info = [(list(p), p[0] if len(p) == 1 else None, sizes[p[0]] if len(p) == 1 else offers[p], float(target[p[0]]) if len(p) == 1 else None, [(spans.get((p, k), []), extra.get((p, k), -1)) for k in range(most)]) for p in offers]
+    info = held(info, f"pattern array<string>, source string, source_size long, target double, passes array<struct<spans: array<{SPAN}>, extra: long>>")
     joined = rows.join(info, "pattern")
-    one = lambda m: F.when((F.col("size") > 0) & ((F.col("slice") < m[0]) | ((F.col("slice") == m[0]) & (place <= F.struct(m[1].alias("u"), m[2].alias("size"), m[3].alias("rid")))) | (F.col("rid") == m[4])), 1).otherwise(0)
+    one = lambda m: F.when((F.col("size") > 0) & (within(m["spans"]) | (F.col("rid") == m["extra"])), 1).otherwise(0)
     times = sum((one(F.col("passes")[k]) for k in range(most)), F.lit(0))
     return joined.withColumn("times", times).select("doc_id", "crc", "rid", "pattern", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), F.col("times").alias("passes"))
 

@@ -91,3 +91,35 @@ def test_awkward_rows(awkward):
 
 def test_empty_table(no_rows):
     assert M.mix(no_rows).collect() == [] and M.mixed(no_rows).collect() == []
+
+
+def slow_fill(rows, flow):
+    """(u, size, rid) in order: what fits is taken, then the one that comes nearest."""
+    taken, left = set(), flow
+    for r in sorted(rows):
+        if 0 < r[1] <= left:
+            taken.add(r[2])
+            left -= r[1]
+    near = min(((abs(s - left), u, s, i) for u, s, i in rows if 0 < s < 2 * left and i not in taken), default=None)
+    return taken | ({near[3]} if near else set())
+
+
+@pytest.mark.parametrize("together", [0, 40, 4096])
+def test_filling_goes_on_past_documents_that_do_not_fit(spark, monkeypatch, together):
+    monkeypatch.setattr(M, "ROWS_TOGETHER", together)
+    rng = random.Random(together)
+    rows = [(k, "w " * 100, "long") for k in range(300)] + [(1000 + k, "w " * 33_000, "long") for k in range(4)]
+    rows += [(2000 + k, "w " * int(rng.paretovariate(0.7) * 20), "mixed") for k in range(400)] + [(3000, "w " * 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = M.mix(docs).withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id", "crc", F.lit(11)), 1)).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r["source"]] += r["size"]
+    target = slow_quotas(sizes)
+    for s in sizes:
+        own = [(r["u"], r["size"], r["rid"]) for r in got if r["source"] == s]
+        flow = int(target[s] + 0.5)
+        want = Counter()
+        for part in (min(flow, sizes[s]), max(0, flow - sizes[s])):
+            want.update(slow_fill(own, part))
+        assert {r["rid"]: r["passes"] for r in got if r["source"] == s and r["passes"]} == dict(want)
