@@ -149,14 +149,14 @@ def simhash(texts: list[str | None], words: int = WORDS) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, crc (of the text), fp (the fingerprint's bits as a signed long) for each row."""
+    """doc_id, digest (of the text), fp (the fingerprint's bits as a signed long) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("crc"), pa.array(simhash(b.column("text").to_pylist(), words).view(np.int64))], ["doc_id", "crc", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(simhash(b.column("text").to_pylist(), words).view(np.int64))], ["doc_id", "digest", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text_of(text).cast("binary")).alias("crc"), F.col(text).alias("text"))
-    return spread(rows).mapInArrow(run, "doc_id long, crc long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("digest"), F.col(text).alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -303,15 +303,15 @@ def fingerprint_links(classes: DataFrame, n_classes: int, most: int = BITS, tile
 
 
 def component_rows(docs: DataFrame, most: int = BITS, text: str = "text") -> DataFrame:
-    """doc_id, crc, fp, component_id for each row of ``docs``."""
+    """doc_id, digest, fp, root (a fingerprint that names the component), component_id (null if no row of it has a doc_id) for each row of ``docs``."""
     prints = saved(fingerprints(docs, text), "fingerprints")
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(fingerprint_links(classes.select("fp"), classes.count(), most))
     linked = roots.withColumnRenamed("node", "fp").join(classes, "fp")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of = saved(classes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "class-components")  # a table: AQE splits hot fingerprints
-    return prints.join(of, "fp").select("doc_id", "crc", "fp", "component_id")
+    of = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    of = saved(classes.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")), "class-components")  # a table: AQE splits hot fingerprints
+    return prints.join(of, "fp").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, most: int = BITS, text: str = "text") -> DataFrame:
@@ -324,11 +324,11 @@ def simhash_components(docs: DataFrame, most: int = BITS, text: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, most: int = BITS, text: str = "text") -> DataFrame:
-    """Of each component of ``docs`` the row with the smallest doc_id, with all its columns."""
+    """Of each component of ``docs`` the row with the smallest doc_id, with all its columns. Components without doc_ids, or with equal ones, stay apart."""
     found = saved(component_rows(docs, most, text), "near")
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "fp", "crc")).alias("f")).select("f.doc_id", "f.crc")
-    repeated = bool(found.groupBy("doc_id", "crc").count().filter("count > 1").take(1))
-    return keep_rows(docs, first, {"doc_id": F.col("doc_id").cast("long"), "crc": F.crc32(text_of(text).cast("binary"))}, repeated, text_of(text))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "fp", "digest")).alias("f")).select("f.doc_id", "f.digest")
+    repeated = bool(found.groupBy("doc_id", "digest").count().filter("count > 1").take(1))
+    return keep_rows(docs, first, {"doc_id": F.col("doc_id").cast("long"), "digest": F.xxhash64(text_of(text))}, repeated, text_of(text))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

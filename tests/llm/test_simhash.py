@@ -105,3 +105,12 @@ def test_query_rows(spark):
 
 def test_empty_table(spark):
     assert S.simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_of_each_keeps_components_without_or_with_equal_ids_apart(spark):
+    rng = random.Random(8)
+    made = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(80)) for _ in range(40)]
+    rows = [(None, t) for t in made[:30]] + [(None, made[0]), (7, made[30]), (7, made[31]), (7, made[32]), (7, made[30])] + [(50 + k, t) for k, t in enumerate(made[33:])]
+    assert len({slow_print(t) for t in made}) == 40 == len(set(slow_components([slow_print(t) for t in made]).values()))
+    got = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(sorted(set(rows), key=str), "doc_id long, text string").collect())
