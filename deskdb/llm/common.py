@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,15 +14,26 @@ WHITE = " \t\n\x0b\x0c\r"
 
 #: Folders of sessions that name none, by application.
 _OWN: dict[str, str] = {}
+#: Folders as given, and with their file system's scheme.
+_WHOLE: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests on one machine), a folder of this session's own."""
+    """The folder in ``spark.checkpoint.dir`` (a path without a scheme is one of the default file system).
+
+    Where that is unset, a folder of this session's own if all runs on one machine (master local, as in tests); else it is refused, as executors
+    would write to disks of their own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        app = spark.sparkContext.applicationId
-        at = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="deskdb-")
-    return (at if "://" in at else f"file://{at}" if at.startswith("/") else at).rstrip("/")
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
+        at = _OWN[context.applicationId] = _OWN.get(context.applicationId) or "file://" + tempfile.mkdtemp(prefix="deskdb-")
+    if at not in _WHOLE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        _WHOLE[at] = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return _WHOLE[at].rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -42,8 +54,19 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes that a task takes of a shuffle whose number of partitions is given.
+TASK_BYTES = 128 << 20
+
+
+def table_bytes(df: DataFrame) -> int:
+    """What Spark expects ``df`` to take (for a table that was just written, the bytes of its files); 0 where it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
+
+
+def tasks_for(spark: SparkSession, size: int, each: int = TASK_BYTES) -> int:
+    """Partitions for a shuffle of ``size`` bytes: spark.sql.shuffle.partitions, or more where a task would take over ``each`` bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 #: Bytes for each core below which an input is dealt over the cores before Python works on it.
@@ -53,8 +76,7 @@ SMALL_BYTES = 4 << 20
 def spread(df: DataFrame) -> DataFrame:
     """A small input, which may be a single file, over all cores; others as they are, as their files make tasks enough."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL_BYTES * cores else df
+    return df.repartition(cores) if 0 < table_bytes(df) < SMALL_BYTES * cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -77,7 +99,7 @@ def numbered(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame
     spread, at = "__dd_spread", "__dd_at"
     placed = (
         df.withColumn(spread, F.monotonically_increasing_id())
-        .repartitionByRange(partitions(spark), group, *order, spread)
+        .repartitionByRange(tasks_for(spark, table_bytes(df)), group, *order, spread)
         .sortWithinPartitions(group, *order, spread)
         .withColumn(at, F.monotonically_increasing_id())
         .drop(spread)
@@ -109,3 +131,7 @@ def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column], repeate
     if repeated:
         found = found.groupBy(*[f"__dd_{k}" for k in keys]).agg(F.max_by("__dd_row", "__dd_best").alias("__dd_row"))
     return found.select("__dd_row.*")
+
+
+def partitions(spark: SparkSession) -> int:
+    return tasks_for(spark, 0)
