@@ -14,6 +14,7 @@ import hashlib
 import html
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
@@ -26,9 +27,14 @@ DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "deskdb:warc")
 HTTP_TYPE, FIELDS_TYPE, TEXT_TYPE = "application/http; msgtype=response", "application/warc-fields", "text/plain"
 
-_HIDDEN = r"script|style|noscript|template|svg|iframe"
-_PART = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<hidden>{_HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=hidden)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_HIDDEN = frozenset("script style noscript template svg iframe".split())
+#: What may be markup: a comment, a tag, a declaration.
+_OPEN = re.compile(r"<(?:(?P<note>!--)|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)|[!?])")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTR = re.compile(r"(?<![\w:-])([a-zA-Z][\w:-]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _HIDDEN}
+_ZEROS = re.compile(r"(&#[xX]?)0{8,}(?=[0-9a-fA-F])")
+_BEYOND = re.compile(r"&#(?:[1-9][0-9]{7,}|[xX][1-9a-fA-F][0-9a-fA-F]{6,});?")
 #: Elements that begin a new line of text.
 _BREAKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
 _LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src", "form": "action", "source": "src", "video": "src", "audio": "src"}
@@ -42,40 +48,89 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE, chr(0).join(map(str, parts)))}>"
 
 
+def unescape(raw: str) -> str:
+    """html.unescape, which fails on numbers of thousands of digits."""
+    return html.unescape(_BEYOND.sub("\ufffd", _ZEROS.sub(r"\1", raw)) if "&#" in raw else raw)
+
+
+class _Ends:
+    """Where tags end: behind the first ``>`` outside quotes. Once a tag has none, all ends are worked out, from the back, so that a page is read once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.marks, self.ends = page, None, []
+
+    def of(self, at: int) -> int:
+        """The place behind the tag whose attributes begin at ``at``; -1 if it doesn't end."""
+        if self.marks is None:
+            if m := _REST.match(self.page, at):
+                return m.end()
+            self._all()
+        k = bisect_left(self.marks, at)
+        return self.ends[k]
+
+    def _all(self) -> None:
+        self.marks = [m.start() for m in re.finditer("[>\"']", self.page)]
+        self.ends = [-1] * (len(self.marks) + 1)
+        behind = {}  # quote -> number of the next such mark
+        for k in range(len(self.marks) - 1, -1, -1):
+            kind = self.page[self.marks[k]]
+            if kind == ">":
+                self.ends[k] = self.marks[k] + 1
+            else:
+                self.ends[k] = self.ends[behind[kind] + 1] if kind in behind else -1
+                behind[kind] = k
+
+
 def read_html(page: str) -> tuple[str | None, str, list[tuple[str, str]]]:
-    """(title, text in lines, links as (element@attribute, address)). Markup that is cut short counts as far as it goes."""
+    """(title, text in lines, links as (element@attribute, address)), in time that follows the page's length.
+
+    Markup that is cut short counts as far as it goes: a tag that doesn't end is text, a comment or hidden element that doesn't end reaches to the page's end.
+    """
     out: list[str] = []
+    titles: list[str] = []
     links: list[tuple[str, str]] = []
-    title, in_title, at = None, False, 0
+    in_title, at, find, ends, last = False, 0, 0, _Ends(page), page.rfind(">")
 
     def words(raw: str) -> None:
-        nonlocal title
         if raw:
-            raw = html.unescape(raw)
+            raw = unescape(raw)
             out.append(raw)
             if in_title:
-                title = (title or "") + raw
-
-    for m in _PART.finditer(page):
+                titles.append(raw)
+
+    while m := _OPEN.search(page, find):
+        tag = (m["tag"] or "").lower()
+        find = m.end()
+        if m["note"]:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        elif tag:
+            end = ends.of(m.end())
+        else:
+            end = page.find(">", m.end()) + 1 if m.end() <= last else -1
+        if end < 0:
+            continue
         words(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["hidden"] or "").lower()
+        hidden = tag in _HIDDEN and not m["end"]
         if tag in _LINKS and not m["end"]:
-            attrs = m["attrs"] if m["tag"] else m[0][: m[0].find(">") + 1]
-            for name, a, b, c in _ATTR.findall(attrs or ""):
-                if name.lower() == _LINKS[tag]:
-                    links.append((f"{tag}@{_LINKS[tag]}", html.unescape(a or b or c).strip()))
+            for a in _ATTR.finditer(page, m.end(), end):
+                if a[1].lower() == _LINKS[tag]:
+                    links.append((f"{tag}@{_LINKS[tag]}", unescape(a[2] or a[3] or a[4] or "").strip()))
                     break
+        if hidden:
+            close = _CLOSE[tag].search(page, end)
+            end = close.end() if close else len(page)
         if tag == "title":
             in_title = not m["end"]
         if tag in _BREAKS:
             out.append("\n")
-        elif m["hidden"] or tag in ("img", "input", "button", "select"):
+        elif hidden or tag in ("img", "input", "button", "select"):
             out.append(" ")
+        at = find = end
     tail = page[at:]
-    words(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", tail) else tail)
+    words(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!]", tail[tail.rfind(">") + 1 :]) else tail)
     lines = (" ".join(line.split()) for line in "".join(out).split("\n"))
-    return " ".join(title.split()) if title is not None else None, "\n".join(x for x in lines if x), links
+    return " ".join("".join(titles).split()) if any(titles) else None, "\n".join(x for x in lines if x), links
 
 
 def response_block(page: str) -> tuple[bytes, bytes]:
