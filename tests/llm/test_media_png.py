@@ -23,12 +23,31 @@ def slow_unfilter(kinds, rows):
     return np.array(out, np.uint8)
 
 
-@given(st.integers(1, 12), st.integers(1, 9), st.randoms(use_true_random=False))
-@settings(max_examples=60, deadline=None)
-def test_unfiltering(height, width, rng):
-    kinds = np.array([rng.randrange(5) for _ in range(height)], np.uint8)
-    rows = np.array([[rng.randrange(256) for _ in range(width)] for _ in range(height)], np.uint8)
-    assert (M.unfilter(kinds, rows) == slow_unfilter(kinds, rows)).all()
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=5), st.integers(1, 9), st.integers(0, 4), st.randoms(use_true_random=False))
+@settings(max_examples=120, deadline=None)
+def test_unfiltering(heights, width, least, rng):
+    images = [(np.array([rng.randrange(least, 5) for _ in range(h)], np.uint8), np.array([[rng.randrange(256) for _ in range(width)] for _ in range(h)], np.uint8)) for h in heights]
+    first = np.concatenate([[True] + [False] * (h - 1) for h in heights])
+    got = M.unfilter(np.concatenate([k for k, _ in images]), np.concatenate([r for _, r in images]), first)
+    assert (got == np.concatenate([slow_unfilter(k, r) for k, r in images])).all()
+
+
+def test_images_of_several_widths_are_decoded_together():
+    rng = np.random.default_rng(3)
+    data = [rng.integers(0, 256, 576 * n, dtype=np.uint8).tobytes() for n in (1, 5, 2, 9)]
+    got = M.decode_pngs([M.encode_png(d, w, f) for d, w, f in zip(data, (64, 32, 64, 576), (4, 3, None, 2))])
+    assert [g.tobytes() for g in got] == data and M.decode_pngs([]) == []
+
+
+def test_rows_get_the_filter_of_the_least_bits(monkeypatch):
+    image = np.concatenate([np.frombuffer(b"some plain words of a text " * 64, np.uint8)[: 64 * 20].reshape(20, 64), np.tile(np.arange(64, dtype=np.uint8) * 3, (20, 1)), np.full((5, 64), 255, np.uint8)])
+    tried = np.stack([M.filter_rows(image, k) for k in range(5)])
+    cost = np.array([[sum(-np.log2((np.sum(f == v) + 1) / (image.size + 256)) for v in row) for row in f] for f in tried])
+    blob = M.encode_png(image.tobytes())
+    kinds = M.filtered_rows(blob)[:, 0]
+    assert len(set(kinds.tolist())) > 2 and np.allclose(cost[kinds, np.arange(45)], cost.min(0), rtol=1e-5)
+    monkeypatch.setattr(M, "STRIP_ROWS", 7)
+    assert M.encode_png(image.tobytes()) == blob
 
 
 @pytest.mark.parametrize("row_filter", [0, 1, 2, 3, 4, None])
@@ -42,7 +61,7 @@ def test_other_readers_agree(monkeypatch):
     """The chunks by another reading of the format: lengths, checksums, zlib."""
     monkeypatch.setattr(M, "CHUNK_BYTES", 50)
     data = M.payload_of("some text " * 100)
-    blob, at, kinds, idat = M.encode_png(data), 8, [], b""
+    blob, at, kinds, idat = M.encode_png(data, row_filter=0), 8, [], b""
     while at < len(blob):
         n, kind = struct.unpack_from(">I4s", blob, at)
         assert zlib.crc32(blob[at + 4 : at + 8 + n]) == struct.unpack_from(">I", blob, at + 8 + n)[0]
@@ -100,6 +119,14 @@ def test_awkward_rows(awkward, no_rows):
     assert M.features(M.to_media(no_rows)).collect() == []
 
 
+def test_stored_images_use_several_filters(spark):
+    from deskdb.llm.common import documents
+
+    blobs = [bytes(r["media"]) for r in M.to_media(documents(spark, "/root/testdata/sf0.001")).collect()]
+    used = [set(M.filtered_rows(b)[:, 0].tolist()) for b in blobs]
+    assert set.union(*used) >= {0, 1, 2, 4} and sum(len(u) > 1 for u in used) > len(used) / 2
+
+
 def test_hash_is_near_for_near_texts():
     text = "The quick brown fox jumps over the lazy dog and runs away. " * 40
     a, b, c = (int(M.cosine_hash(M.decode_png(M.encode_png(M.payload_of(t)))), 16) for t in (text, text.replace("lazy", "mazy", 1), "".join(reversed(text)).upper()))
