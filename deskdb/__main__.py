@@ -17,7 +17,7 @@ from deskdb.operators.ingest import import_csv
 from deskdb.plans.shell import Shell
 from deskdb.render import dialects as D
 from deskdb.render.ddl import USUAL, schema_lines
-from deskdb.render.lines import Delimited, delimited, header_line, inserts, json_lines, unescaped
+from deskdb.render.lines import Delimited, delimited, header_line, inserts, json_lines, unescaped, write_delimited, write_inserts, write_json
 
 
 def open_database(spark: SparkSession, path: str) -> Database:
@@ -43,6 +43,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-d", "--delimiter", default="\t")
     c.add_argument("-H", "--no-header", action="store_true")
     c.add_argument("-F", "--no-footer", action="store_true")
+    c.add_argument("-i", "--input", help="a file of statements instead of standard input")
+    c.add_argument("-o", "--output", help="a file for the results instead of standard output")
     c = command("tables", "list objects")
     c.add_argument("-S", "--system", action="store_true")
     c.add_argument("-1", "--single", action="store_true", help="one on a line")
@@ -65,10 +67,12 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("-D", "--date-format")
     c.add_argument("-T", "--datetime-format")
     c.add_argument("-b", "--bin", default="raw", choices=BINARY_MODES)
+    c.add_argument("-o", "--output", help="a folder that tasks write to; no row goes through the driver")
     c = command("json", "rows as JSON lines", "table")
     c.add_argument("-D", "--date-format")
     c.add_argument("-T", "--datetime-format")
     c.add_argument("-U", "--no-unprintable", action="store_true")
+    c.add_argument("-o", "--output", help="a folder that tasks write to; no row goes through the driver")
     c = command("schema", "a CREATE script")
     c.add_argument("dialect", nargs="?", default="access")
     c.add_argument("-T", "--table")
@@ -82,6 +86,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("name", nargs="?")
     c = command("import", "append CSV files to a table", "table", "file")
     c.add_argument("-H", "--header", type=int, default=0, metavar="LINES")
+    c.add_argument("-M", "--multi-line", action="store_true", help="quoted fields may span lines; a file is read by one task")
     c.add_argument("-d", "--delimiter", default=",")
     return p
 
@@ -101,21 +106,38 @@ def output(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
     db = open_database(spark, a.database)
     if a.command == "sql":
         shell = Shell(Engine(spark, db), not a.plain, unescaped(a.delimiter), not a.no_header, not a.no_footer)
-        yield from (line + "\n" for line in shell.run(sys.stdin.read()))
+        if a.input:
+            with open(a.input, encoding="utf-8") as f:
+                script = f.read()
+        else:
+            script = sys.stdin.read()
+        if a.output:
+            with open(a.output, "w", encoding="utf-8") as f:
+                f.writelines(line + "\n" for line in shell.run(script))
+        else:
+            yield from (line + "\n" for line in shell.run(script))
     elif a.command == "tables":
         rows = metadata.list_objects(db, a.type, a.system).collect()
         names = [f"{r['object_type']} {r['name']}" if a.show_type else r["name"] for r in rows]
         yield "".join(n + "\n" for n in names) if a.single else unescaped(a.delimiter).join(names) + "\n"
     elif a.command == "export":
         df, schema = db.table(a.table, storage_order=bool(a.insert)), db.schema(a.table)
+        if a.insert and a.output:
+            write_inserts(df, a.output, db.find(a.table), a.insert, a.batch_size, a.namespace, style_of(a), a.quote, schema)
+            return
         if a.insert:
             lines = inserts(df, db.find(a.table), a.insert, a.batch_size, a.namespace, style_of(a), a.quote, schema).orderBy("statement_no")
             yield from (r["line"] + "\n" for r in lines.toLocalIterator())
             return
         o = Delimited(unescaped(a.delimiter), unescaped(a.row_delimiter), not a.no_header, a.quote if a.quote is not None else '"', not a.no_quote, a.escape, a.escape_invisible, unescaped(a.null), style_of(a))
+        if a.output:
+            write_delimited(df, a.output, o, schema)
+            return
         if o.header:
             yield header_line(schema, o) + o.row_end
         yield from (r["line"] + o.row_end for r in delimited(df, o, schema).toLocalIterator())
+    elif a.command == "json" and a.output:
+        write_json(db.table(a.table), a.output, style_of(a), a.no_unprintable, db.schema(a.table))
     elif a.command == "json":
         yield from (r["line"] + "\n" for r in json_lines(db.table(a.table), style_of(a), a.no_unprintable, db.schema(a.table)).toLocalIterator())
     elif a.command == "schema":
@@ -129,7 +151,7 @@ def output(spark: SparkSession, a: argparse.Namespace) -> Iterator[str]:
     elif a.command == "queries":
         yield metadata.stored_query(db, a.name) + "\n" if a.name else " ".join(r["name"] for r in metadata.stored_queries(db).collect()) + "\n"
     elif a.command == "import":
-        yield f"{import_csv(spark, a.file, f'{a.database}/{db.find(a.table)}.parquet', delimiter=unescaped(a.delimiter), skip=a.header)} rows\n"
+        yield f"{import_csv(spark, a.file, f'{a.database}/{db.find(a.table)}.parquet', delimiter=unescaped(a.delimiter), skip=a.header, multi_line=a.multi_line)} rows\n"
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

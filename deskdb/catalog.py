@@ -67,6 +67,10 @@ class Database:
             raise AnalysisError(f"{name} is not a table in this database")
         return found[0]
 
+    def stored(self, name: str) -> bool:
+        """Whether a table's rows have places in files."""
+        return self.find(name) not in self.given
+
     def table(self, name: str, storage_order: bool = False) -> DataFrame:
         """A table's rows; with ``storage_order``, the two columns STORAGE_ORDER besides."""
         own = self.find(name)

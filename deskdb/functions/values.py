@@ -28,16 +28,36 @@ class Style:
     braces: bool = False
 
 
-@F.arrow_udf(T.StringType())
-def double_text(x: pa.Array) -> pa.Array:
+def _each(x: pa.Array, digits: int) -> pa.Array:
+    """C's %g with ``digits`` significant digits; a value that comes often is written once."""
+    coded = x.dictionary_encode()
+    return pa.array([f"{v:.{digits}g}" for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+_double_text = F.arrow_udf(T.StringType())(lambda x: _each(x, 16))
+_single_text = F.arrow_udf(T.StringType())(lambda x: _each(x, 8))
+
+
+def _number_text(col: Column, below: float, rest) -> Column:
+    """Whole numbers that are written in full are so in the JVM; Python gets the others, and nulls in place of these."""
+    whole = (F.abs(col) >= 1) & (F.abs(col) < below) & (F.floor(col) == col)
+    return F.coalesce(F.when(whole, col.cast("long").cast("string")), rest(F.when(~whole, col)))
+
+
+def double_text(col: Column | str) -> Column:
     """16 significant digits, without trailing zeros, as C's %g. Neither printf nor cast of the JVM writes so."""
-    return pa.array([None if v is None else f"{v:.16g}" for v in x.to_pylist()], pa.string())
+    return _number_text(F.col(col) if isinstance(col, str) else col, 1e15, _double_text)
 
 
-@F.arrow_udf(T.StringType())
-def single_text(x: pa.Array) -> pa.Array:
+def single_text(col: Column | str) -> Column:
     """8 significant digits, without trailing zeros."""
-    return pa.array([None if v is None else f"{v:.8g}" for v in x.to_pylist()], pa.string())
+    return _number_text(F.col(col) if isinstance(col, str) else col, 1e8, _single_text)
+
+
+def braced(text: Column) -> Column:
+    """A GUID's text, 8-4-4-4-12, as {8-4-4-16}; other texts as they are."""
+    parts = r"^([0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4})-([0-9A-Fa-f]{12})$"
+    return F.when(F.regexp_like(text, F.lit(parts)), F.concat(F.lit("{"), F.regexp_replace(text, parts, "$1$2"), F.lit("}"))).otherwise(text)
 
 
 def guid(hexed: Column, braces: bool) -> Column:
@@ -45,7 +65,8 @@ def guid(hexed: Column, braces: bool) -> Column:
     byte = lambda k: F.substring(hexed, 2 * k + 1, 2)
     a, b, c = F.concat(*map(byte, (3, 2, 1, 0))), F.concat(byte(5), byte(4)), F.concat(byte(7), byte(6))
     d, e = F.substring(hexed, 17, 4), F.substring(hexed, 21, 12)
-    return F.concat(F.lit("{"), a, F.lit("-"), b, F.lit("-"), c, F.lit("-"), d, e, F.lit("}")) if braces else F.concat_ws("-", a, b, c, d, e)
+    dash = F.lit("-")
+    return F.concat(F.lit("{"), a, dash, b, dash, c, dash, d, e, F.lit("}")) if braces else F.concat(a, dash, b, dash, c, dash, d, dash, e)
 
 
 def octal(col: Column) -> Column:
@@ -81,6 +102,8 @@ def rendered(field: T.StructField, style: Style = Style()) -> Column:
         return guid(F.hex(col), style.braces) if kind == K.REPID else binary_text(col, style.binary)
     if isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(col)
+    if kind == K.REPID and style.braces:
+        return braced(col.cast("string"))
     return col.cast("string")
 
 

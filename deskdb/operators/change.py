@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from deskdb.errors import AnalysisError
+from deskdb.errors import AnalysisError, DeskError
 from deskdb.sql.compile import literal, predicate, quote, resolve
 from deskdb.sql.parser import Parser
 
@@ -48,13 +48,19 @@ def append_to(path: str, rows: DataFrame) -> None:
 
 
 def rewrite(spark: SparkSession, path: str, changes: dict[str, object], where: str | None = None) -> None:
-    """Updates the Parquet table at ``path``: written beside it, then put in its place."""
+    """Updates the Parquet table at ``path``: written beside it, then put in its place by two renames, between which no table is at ``path``.
+
+    If the second fails, the old table is put back.
+    """
     beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex[:8]}"
     updated(spark.read.parquet(path), changes, where).write.parquet(beside)
     jvm = spark.sparkContext._jvm
     old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
     store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     gone = jvm.org.apache.hadoop.fs.Path(beside + ".old")
-    store.rename(old, gone)
-    store.rename(new, old)
+    if not store.rename(old, gone):
+        raise DeskError(f"can't move {path}")
+    if not store.rename(new, old):
+        store.rename(gone, old)
+        raise DeskError(f"can't move {beside} to {path}")
     store.delete(gone, True)

@@ -9,9 +9,38 @@ from deskdb.sql import nodes as N
 from deskdb.sql.compile import predicate, quote, resolve
 
 
-def first_rows(df: DataFrame, n: int, keep: list) -> DataFrame:
-    """The first ``n`` rows in storage order: every task keeps its own first n, so nothing is sorted as a whole."""
-    return df.orderBy(*STORAGE_ORDER).limit(n).select(*keep)
+#: Limits up to which each task keeps its own first rows and one task merges them.
+FEW = 100_000
+#: Rows of a file that are counted together, as a power of two.
+BLOCK_BITS = 16
+
+
+def first_rows(df: DataFrame, n: int, keep: list, stored: bool = True) -> DataFrame:
+    """The first ``n`` rows in storage order. Nothing is sorted as a whole.
+
+    Up to FEW rows every task keeps its own first n. Beyond that the place of the n-th row is found by counting: the rows of each file, then of each block
+    of the file in which it falls, then within the block; the result is a filter on file and row, which also leaves later files unread. Rows that
+    have no place in files (``stored`` false) are always taken the first way.
+    """
+    if n <= FEW or not stored:
+        return df.orderBy(*STORAGE_ORDER).limit(n).select(*keep)
+    file, row = map(F.col, STORAGE_ORDER)
+    left, last, block = n, None, None
+    for r in sorted(df.groupBy(file.alias("f")).count().collect()):  # a row for each file
+        if left <= r["count"]:
+            last = r["f"]
+            break
+        left -= r["count"]
+    if last is None:
+        return df.select(*keep)
+    own = df.filter(file == last)
+    for r in sorted(own.groupBy(F.shiftright(row, BLOCK_BITS).alias("b")).count().collect()):  # a row for each block of one file
+        if left <= r["count"]:
+            block = r["b"]
+            break
+        left -= r["count"]
+    inside = own.filter(F.shiftright(row, BLOCK_BITS) == block).orderBy(row).limit(left).agg(F.max(row).alias("m")).head()["m"]
+    return df.filter((file < last) | ((file == last) & (row <= inside))).select(*keep)
 
 
 def percent_rows(rows: int, percent: int) -> int:
@@ -42,4 +71,4 @@ def select(db: Database, query: N.Select, collation: str | None = None) -> DataF
     if not limited:
         return df.select(*keep)
     n = percent_rows(db.table(query.table).count(), query.limit) if query.percent else query.limit
-    return first_rows(df, n, keep)
+    return first_rows(df, n, keep, db.stored(query.table))

@@ -129,7 +129,13 @@ _call(
     metadata.client_types,
     _values(
         "TYPE_NAME DATA_TYPE COLUMN_SIZE LITERAL_PREFIX LITERAL_SUFFIX CREATE_PARAMS NULLABLE CASE_SENSITIVE SEARCHABLE UNSIGNED_ATTRIBUTE FIXED_PREC_SCALE AUTO_UNIQUE_VALUE LOCAL_TYPE_NAME MINIMUM_SCALE MAXIMUM_SCALE SQL_DATA_TYPE SQL_DATETIME_SUB NUM_PREC_RADIX INTERVAL_PRECISION".split(),
-        [(n, c, z, None, None, None, 1, 1, 1, None, 0, a, None, 0, z, s, None, None, None) for n, c, z, a, s in metadata.TYPE_TABLE],
+        [
+            (n, c, z, None, None, None, 1, 1, 1, None, 0, a, None, 0, z, s, None, None, None)
+            for n, c, z, a, s in [
+                ("text", 12, 255, 0, 12), ("memo", 12, 4096, 0, 12), ("ole", 12, 16384, 0, 12), ("text", 1, 255, 0, 1), ("numeric", 2, 255, 0, 2), ("numeric", 3, 255, 0, 3),
+                ("long integer", 4, 4, 1, 4), ("integer", 5, 4, 1, 5), ("integer", 5, 4, 1, 5), ("single", 7, 4, 1, 7), ("double", 8, 8, 1, 6), ("datetime", 9, 8, 1, 9),
+            ]
+        ],
         "VARCHAR INT INT VARCHAR VARCHAR VARCHAR INT INT INT INT INT INT VARCHAR INT INT INT INT INT INT".split(),
     ),
 )
@@ -164,8 +170,8 @@ _call(
 )
 _call(
     "double_text",
-    lambda db: db.table("lineitem").select("l_orderkey", "l_linenumber", double_text("l_quantity").alias("quantity")),
-    "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS quantity FROM lineitem",
+    lambda db: db.table("lineitem").select("l_orderkey", "l_linenumber", double_text("l_quantity").alias("quantity"), double_text(F.col("l_quantity") / 7).alias("seventh")),
+    "SELECT l_orderkey, l_linenumber, printf('%.16g', l_quantity) AS quantity, printf('%.16g', l_quantity / 7) AS seventh FROM lineitem",
 )
 
 # -- output

@@ -159,14 +159,31 @@ def value_tuples(df: DataFrame, dialect_name: str, style: Style | None = None, q
     return df.select(F.concat(F.lit("("), F.concat_ws(", ", *values), F.lit(")")).alias("line"), *keep)
 
 
-def numbered_rows(df: DataFrame, order: tuple[str, ...] = STORAGE_ORDER) -> DataFrame:
-    """Adds ``__desk_n``, 1, 2, ... in the order given. Files are counted first, so that only a file's own rows are sorted together:
-    with order (file, row) a row's number is the rows of the files before it plus its place in its file."""
-    file, row = order
-    counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("__desk_c"))
-    before = counts.withColumn("__desk_b", F.coalesce(F.sum("__desk_c").over(W.orderBy(file).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__desk_c")
-    own = F.row_number().over(W.partitionBy(file).orderBy(row))
-    return df.withColumn("__desk_r", own).join(before, file).withColumn("__desk_n", F.col("__desk_b") + F.col("__desk_r")).drop("__desk_b", "__desk_r")
+#: Rows of a file that are numbered together where some are missing, as a power of two.
+BLOCK_BITS = 16
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """Adds ``__desk_n``, 1, 2, ... in storage order.
+
+    Files are counted first. Where every file has its rows 0, 1, 2, ..., a row's number is the rows of the files before it plus its place: no row moves. Where
+    rows are missing (a filter, or a table without files), blocks of 65,536 places are counted, and only rows of one block are sorted together.
+    """
+    spark, (file, row) = df.sparkSession, STORAGE_ORDER
+    files = sorted(df.groupBy(F.col(file).alias("f")).agg(F.count(F.lit(1)).alias("c"), F.max(row).alias("m")).collect())  # a row for each file
+    starts, at = [], 0
+    for r in files:
+        starts.append((r["f"], at))
+        at += r["c"]
+    before = spark.createDataFrame(starts, f"{file} string, __desk_b long")
+    if all(r["m"] == r["c"] - 1 for r in files):
+        return df.join(before, file).withColumn("__desk_n", F.col("__desk_b") + F.col(row) + 1).drop("__desk_b")
+    block = F.shiftright(row, BLOCK_BITS)
+    counts = df.groupBy(file, block.alias("__desk_k")).agg(F.count(F.lit(1)).alias("__desk_c"))
+    sums = F.coalesce(F.sum("__desk_c").over(W.partitionBy(file).orderBy("__desk_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__desk_c", sums).join(before, file).select(file, "__desk_k", (F.col("__desk_c") + F.col("__desk_b")).alias("__desk_b"))
+    own = df.withColumn("__desk_k", block).withColumn("__desk_r", F.row_number().over(W.partitionBy(file, "__desk_k").orderBy(row)))
+    return own.join(counts, [file, "__desk_k"]).withColumn("__desk_n", F.col("__desk_b") + F.col("__desk_r")).drop("__desk_b", "__desk_r", "__desk_k")
 
 
 def inserts(df: DataFrame, table: str, dialect_name: str, batch: int = BATCH, namespace: str | None = None, style: Style | None = None, quote_char: str | None = None, schema: T.StructType | None = None) -> DataFrame:
@@ -184,3 +201,13 @@ def inserts(df: DataFrame, table: str, dialect_name: str, batch: int = BATCH, na
         return rows.select(n, F.concat(F.lit(head), F.col("line"), F.lit(";")).alias("line"))
     grouped = rows.groupBy(n).agg(F.array_sort(F.collect_list(F.struct("__desk_n", "line"))).alias("r"))
     return grouped.select("statement_no", F.concat(F.lit(head), F.array_join(F.col("r.line"), ", "), F.lit(";")).alias("line"))
+
+
+def write_inserts(df: DataFrame, path: str, *args, **how) -> None:
+    """Text files of the statements that ``inserts`` gives, a line each, in their order over the files' names."""
+    inserts(df, *args, **how).orderBy("statement_no").select("line").write.text(path)
+
+
+def write_json(df: DataFrame, path: str, *args, **how) -> None:
+    """Text files of JSON lines, written by the tasks that read the rows."""
+    json_lines(df, *args, **how).write.text(path)

@@ -6,6 +6,7 @@ pyarrow's file systems know. ``database`` gives a whole file as a Database, with
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,8 +66,10 @@ class PageSource(DataSource):
 
 
 class Run(InputPartition):
-    def __init__(self, pages: list[int]) -> None:
-        self.pages = pages
+    """Pages, and the table's definition, so that tasks don't read the catalog."""
+
+    def __init__(self, pages: list[int], table: Table) -> None:
+        self.pages, self.table = pages, table
 
 
 class PageReader(DataSourceReader):
@@ -75,15 +78,16 @@ class PageReader(DataSourceReader):
 
     def partitions(self) -> list[Run]:
         f = open_file(self.path)
-        pages = list(f.data_pages(f.find(self.table)))
-        return [Run(pages[k : k + self.size]) for k in range(0, len(pages), self.size)] or [Run([])]
+        table = f.find(self.table)
+        pages = list(f.data_pages(table))
+        return [Run(pages[k : k + self.size], table) for k in range(0, len(pages), self.size)] or [Run([], table)]
 
     def read(self, run: Run) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         f, kinds = open_file(self.path), to_arrow_schema(self.types)
         rows: list[dict] = []
-        for row in f.rows(f.find(self.table), run.pages):
+        for row in f.rows(run.table, run.pages):
             rows.append(dated(row, self.types))
             if len(rows) >= BATCH_ROWS:
                 yield pa.RecordBatch.from_pylist(rows, schema=kinds)
@@ -97,14 +101,22 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.format(FORMAT).option("table", table).option("path", path).load()
 
 
+def _described(table: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("content").to_pylist():
+                yield pa.RecordBatch.from_pydict({"schema": [schema_of(*PageFile.of_bytes(blob).described(table)).json()]})
+
+    return run
+
+
 def read_bytes(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A table of each of many small files, of any store that Spark reads: a file is one row of bytes, decoded where it is."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    first = files.head()
-    if first is None:
+    described = files.limit(1).mapInArrow(_described(table), "schema string").head()  # read by a task; the driver gets the schema alone
+    if described is None:
         raise PageError(f"no files at {path}")
-    f = PageFile.of_bytes(bytes(first["content"]))
-    schema = schema_of(*f.described(table))
+    schema = T.StructType.fromJson(json.loads(described["schema"]))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -52,6 +52,8 @@ VERSIONS = {0: "JET3", 1: "JET4", 2: "ACE12", 3: "ACE14", 4: "ACE15", 5: "ACE16"
 HEADER_KEY = bytes([0xC7, 0xDA, 0x39, 0x6B])
 HEADER_AT, KEY_AT, CODE_PAGE_AT = 0x18, 0x3E, 0x3C
 CATALOG_PAGE = 2
+#: Pages that are read at once.
+RUN_PAGES = 256
 DAY_ZERO = datetime(1899, 12, 30)
 FIXED_SIZE = {K.BYTE.code: 1, K.INTEGER.code: 2, K.LONG.code: 4, K.CURRENCY.code: 8, K.SINGLE.code: 4, K.DOUBLE.code: 8, K.DATETIME.code: 8, K.REPID.code: 16, K.NUMERIC.code: 17, K.COMPLEX.code: 4}
 
@@ -171,11 +173,23 @@ class PageFile:
         return self.size // self.at.page
 
     def page(self, n: int) -> bytes:
-        data = self.read(n * self.at.page, self.at.page)
+        return self._plain_page(n, self.read(n * self.at.page, self.at.page))
+
+    def _plain_page(self, n: int, data: bytes) -> bytes:
         if len(data) < self.at.page:
             raise PageError(f"page {n} is not there")
         return rc4(struct.pack("<I", self.key ^ n), data) if self.key and n else data
 
+    def runs(self, numbers: Iterable[int]) -> Iterator[tuple[int, bytes]]:
+        """(number, page) of each page; neighbours are read at once, up to RUN_PAGES of them."""
+        held: list[int] = []
+        for n in [*numbers, -1]:
+            if held and (n != held[-1] + 1 or len(held) == RUN_PAGES):
+                data = self.read(held[0] * self.at.page, len(held) * self.at.page)
+                yield from ((m, self._plain_page(m, data[k * self.at.page : (k + 1) * self.at.page])) for k, m in enumerate(held))
+                held = []
+            held.append(n)
+
     def bounds(self, page: bytes, row: int) -> tuple[int, int, int]:
         """(start, end, flags) of a page's row."""
         at = self.at.rows_at
@@ -281,10 +295,7 @@ class PageFile:
 
     def rows(self, table: Table, pages: list[int] | None = None) -> Iterator[dict[str, object]]:
         """Rows in storage order, by column name; of all the table's pages, or of some."""
-        for n in self.data_pages(table) if pages is None else pages:
-            if n >= self.pages:
-                continue
-            page = self.page(n)
+        for n, page in self.runs(n for n in (self.data_pages(table) if pages is None else pages) if n < self.pages):
             if page[0] != 1 or struct.unpack_from("<I", page, 4)[0] != table.page:
                 continue
             for k in range(struct.unpack_from("<H", page, self.at.rows_at)[0]):

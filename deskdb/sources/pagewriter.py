@@ -1,4 +1,4 @@
-"""Writes small page files for tests, from the format's layout tables."""
+"""Writes small page files, held whole in memory: fixtures for the reader, from the format's layout tables."""
 
 import struct
 

@@ -194,7 +194,7 @@ def test_csv_import(spark, tmp_path):
     (tmp_path / "one.csv").write_text('t,i,b\n"line\nbreak",1,true\n')
     table = str(tmp_path / "t.parquet")
     spark.createDataFrame([], schema).write.parquet(table)
-    assert import_csv(spark, str(tmp_path / "one.csv"), table) == 1
+    assert import_csv(spark, str(tmp_path / "one.csv"), table, multi_line=True) == 1
     assert spark.read.parquet(table).collect() == [("line\nbreak", 1, True)]
     for bad in ("x,ten,1\n", "x,1,maybe\n"):
         (tmp_path / "bad.csv").write_text(bad)

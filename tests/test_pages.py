@@ -9,7 +9,7 @@ from deskdb.engine import Engine
 from deskdb.render.ddl import schema_text
 from deskdb.sources.pagefile import database, read_bytes, read_table, version
 from deskdb.sources.pages import PageError, PageFile, rc4, squeezed, wide_text
-from page_writer import Writer, property_block
+from deskdb.sources.pagewriter import Writer, property_block
 
 col = lambda name, code, fixed, length, **more: {"name": name, "code": code, "fixed": fixed, "length": length, **more}
 COLUMNS = [
