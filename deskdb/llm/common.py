@@ -2,44 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from deskdb.scratch import clear_scratch, scratch_path, shared_dir  # noqa: F401
+
 #: The six ASCII white-space characters ``[\x20\x09-\x0D]``.
 WHITE = " \t\n\x0b\x0c\r"
 
 
-#: Folders of sessions that name none, by application.
-_OWN: dict[str, str] = {}
-#: Folders as given, and with their file system's scheme.
-_WHOLE: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir`` (a path without a scheme is one of the default file system).
-
-    Where that is unset, a folder of this session's own if all runs on one machine (master local, as in tests); else it is refused, as executors
-    would write to disks of their own.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        context = spark.sparkContext
-        if not re.match(r"local(\[|$)", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
-        at = _OWN[context.applicationId] = _OWN.get(context.applicationId) or "file://" + tempfile.mkdtemp(prefix="deskdb-")
-    if at not in _WHOLE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        _WHOLE[at] = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return _WHOLE[at].rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/deskdb-scratch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: cuts lineage, and outlives lost executors."""
     spark = df.sparkSession
@@ -48,12 +18,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes every scratch table of this application; call it once the results that read them are consumed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/deskdb-scratch/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: Bytes that a task takes of a shuffle whose number of partitions is given.
 TASK_BYTES = 128 << 20
 
@@ -131,7 +95,3 @@ def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column], repeate
     if repeated:
         found = found.groupBy(*[f"__dd_{k}" for k in keys]).agg(F.max_by("__dd_row", "__dd_best").alias("__dd_row"))
     return found.select("__dd_row.*")
-
-
-def partitions(spark: SparkSession) -> int:
-    return tasks_for(spark, 0)

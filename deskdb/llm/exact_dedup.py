@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import WHITE, documents, keep_rows, partitions, saved, text_of
+from deskdb.llm.common import WHITE, documents, keep_rows, saved, table_bytes, tasks_for, text_of
 
 #: Distinct digests that an index part holds at most, on average; an index part is some 2 MB.
 PART_KEYS = 32_768
@@ -109,9 +109,8 @@ class Mph:
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     slots = np.zeros(len(pdf), SLOT)
     slots["digest"] = np.frombuffer(b"".join(pdf["digest"]), "V32")
-    slots["no_id"] = pdf["keep_id"].isna()
-    slots["keep_id"] = pdf["keep_id"].fillna(0).astype("int64")
-    slots["rid"], slots["group_size"] = pdf["rid"], pdf["group_size"]
+    for name in ("rid", "keep_id", "no_id", "group_size"):  # none holds nulls, which pandas would turn into floats
+        slots[name] = pdf[name]
     return pd.DataFrame({"part": pdf["part"].iloc[:1], "blob": [build_mph(slots)]})
 
 
@@ -157,7 +156,7 @@ def build_index(prints: DataFrame, parts: int) -> DataFrame:
     """(part, blob): the minimal perfect hash of each part of the distinct digests of ``prints``."""
     best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("rid"))).alias("best")
     groups = prints.groupBy("digest").agg(best, F.count(F.lit(1)).alias("group_size"))
-    slots = groups.select(_part(parts).alias("part"), "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("rid"), "group_size")
+    slots = groups.select(_part(parts).alias("part"), "digest", F.coalesce("best.doc_id", F.lit(0)).alias("keep_id"), F.col("best.z").alias("no_id"), F.col("best.rid").alias("rid"), "group_size")
     return slots.groupBy("part").applyInPandas(_build, "part int, blob binary")
 
 
@@ -171,7 +170,7 @@ def look_up(prints: DataFrame, index: DataFrame, parts: int) -> DataFrame:
     rows = rows.join(F.broadcast(hot), "part", "left").select("part", F.pmod("rid", ways).cast("int").alias("split"), F.lit(None).cast("binary").alias("blob"), "rid", "doc_id", "digest", "n_points")
     none = [F.lit(None).cast(t).alias(n) for n, t in (("rid", "long"), ("doc_id", "long"), ("digest", "binary"), ("n_points", "long"))]
     index = index.join(F.broadcast(hot), "part", "left").select("part", F.explode(F.sequence(F.lit(0), (ways - 1).cast("int"))).alias("split"), "blob", *none)
-    met = index.unionByName(rows).repartition(partitions(spark), "part", "split").sortWithinPartitions("part", "split", F.col("blob").isNull())
+    met = index.unionByName(rows).repartition(tasks_for(spark, 2 * table_bytes(prints)), "part", "split").sortWithinPartitions("part", "split", F.col("blob").isNull())
     return met.mapInArrow(_look_up, "rid long, doc_id long, digest binary, n_points long, keep_id long, keep_rid long, group_size long")
 
 

@@ -11,7 +11,8 @@ differ in 4 bits at most are linked; a component is what links reach.
    are one node, eight nodes the next above; a node holds the masked pattern of the bits that all below it share, less
    those already held above. A search adds up differences from the root down and drops a node, with all below it, once
    there are more than d. What it links is kept as one link from each fingerprint to the least it is connected with, never as
-   all pairs. A group beyond TILE fingerprints is cut into tiles, and every pair of tiles is searched by a task of its own.
+   all pairs. A group beyond TILE fingerprints is dealt out once more, by d + 1 runs of the bits that its members needn't agree on, one of which two that are
+   linked must share; what is still beyond TILE is cut into tiles, and every pair of tiles is searched by a task of its own.
 4. Components are found by distributed pointer rounds (see ``components``) and joined back to the rows.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import documents, keep_rows, partitions, saved, spread, text_of
+from deskdb.llm.common import documents, keep_rows, saved, spread, table_bytes, tasks_for, text_of
 from deskdb.llm.components import components
 
 SEED, WORDS, BITS = 42, 4, 4
@@ -281,6 +282,12 @@ def blocks(n_blocks: int) -> list[int]:
     return [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])]
 
 
+def runs_of(mask: int, n: int) -> list[int]:
+    """The bits of ``mask`` in ``n`` nearly equal runs, as masks."""
+    bits = [k for k in range(64) if mask >> k & 1]
+    return [sum(1 << k for k in bits[len(bits) * j // n : len(bits) * (j + 1) // n]) for j in range(n)]
+
+
 def fingerprint_links(classes: DataFrame, n_classes: int, most: int = BITS, tile: int = TILE) -> DataFrame:
     """(a, b): links that connect what chains of links of ``most`` bits connect. classes: a saved table of distinct fp."""
     agree = 1
@@ -289,17 +296,19 @@ def fingerprint_links(classes: DataFrame, n_classes: int, most: int = BITS, tile
     masks = [sum(c) for c in combinations(blocks(most + agree), agree)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     dealt = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for k, m in enumerate(masks)])).alias("g")).select("fp", "g.k", "g.bits")
-    large = saved(dealt.groupBy("k", "bits").count().filter(F.col("count") > tile).select("k", "bits", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "tiles")
-    name = lambda *more: F.xxhash64("k", "bits", *more).alias("unit")
-    if large.take(1):
+    rows = dealt.select("fp", "k", F.xxhash64("k", "bits").alias("unit"))
+    large = lambda rows: saved(rows.groupBy("unit").count().filter(F.col("count") > tile).select("unit", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "tiles")
+    units = rows.select("unit", F.lit(0).alias("side"), "fp")
+    if (hot := large(rows)).take(1):
+        rest = F.array(*[F.array(*[F.lit(signed(x)).cast("long") for x in runs_of(~m & (1 << 64) - 1, most + 1)]) for m in masks])
+        finer = F.transform(F.element_at(rest, F.col("k") + 1), lambda m, j: F.xxhash64("unit", j, F.col("fp").bitwiseAND(m)))
+        rows = rows.join(hot, "unit", "left").select("fp", F.explode(F.when(F.col("tiles").isNull(), F.array("unit")).otherwise(finer)).alias("unit"))
         # each row goes to the units of its tile with every tile, once for each; units of a hot group are as large as others
-        both = dealt.join(large, ["k", "bits"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int"))
-        both = both.select("fp", "k", "bits", "own", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)).alias("other"))
+        both = rows.join(large(rows), "unit", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int"))
+        both = both.select("fp", "unit", "own", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)).alias("other"))
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        units = both.select(name(F.least("own", "other"), F.greatest("own", "other")), side.alias("side"), "fp")
-    else:
-        units = dealt.select(name(F.lit(0), F.lit(0)), F.lit(0).alias("side"), "fp")
-    return units.repartition(partitions(classes.sparkSession), "unit").sortWithinPartitions("unit").mapInArrow(_search_units(most), "a long, b long")
+        units = both.select(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), side.alias("side"), "fp")
+    return units.repartition(tasks_for(classes.sparkSession, len(masks) * table_bytes(classes)), "unit").sortWithinPartitions("unit").mapInArrow(_search_units(most), "a long, b long")
 
 
 def component_rows(docs: DataFrame, most: int = BITS, text: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import documents, partitions, scratch_path
+from deskdb.llm.common import documents, scratch_path, table_bytes, tasks_for
 from deskdb.llm.tokens import encoded, public_path
 
 BLOCK_BYTES = 1 << 16
@@ -83,11 +84,13 @@ class SstWriter:
     def __init__(self, out, end_id: int, width: int) -> None:
         self.out, self.end_id, self.width = out, end_id, width
         self.block, self.last, self.at, self.index = bytearray(), b"", 0, []
-        self.numbers, self.tokens = [], 0
+        self.numbers, self.tokens = array("Q"), 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if key < self.last:
             raise ValueError("keys must ascend")
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} doesn't fit {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         shared = 0
         if self.block:
@@ -113,7 +116,7 @@ class SstWriter:
         bits = max(64, BLOOM_BITS * len(self.numbers))
         marks = np.zeros(bits, bool)
         for lo in range(0, len(self.numbers), 1 << 16):
-            marks[_probes(np.array(self.numbers[lo : lo + (1 << 16)], np.uint64), bits).ravel()] = True
+            marks[_probes(np.frombuffer(self.numbers[lo : lo + (1 << 16)], np.uint64), bits).ravel()] = True
         bloom = np.packbits(marks).tobytes()
         self.out.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), bits, len(self.numbers), self.tokens, self.end_id, self.width, zlib.crc32(index + bloom), MAGIC))
         return {"docs": len(self.numbers), "tokens": self.tokens}
@@ -172,13 +175,23 @@ class SstReader:
         return out
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2, text: str = "text") -> list[dict]:
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """2 if every id of the vocabulary and ``end_id`` fit two bytes, else 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+
+
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int | None = None, text: str = "text") -> list[dict]:
     """Writes the shards and returns their manifest: shard, path, docs, tokens, and start (ids in the shards before it).
 
     ``folder`` is a URI that every executor reaches. Rows are range-partitioned by doc_id and, among equal ids, spread, so that one
     id with a third of all rows is cut over shards. A task writes under a name of its own attempt and renames it when whole; a
-    repeated task replaces the file with the same bytes. Null texts count as empty, null ids come first.
+    repeated task replaces the file with the same bytes. ``width`` is the bytes of an id, by default what the vocabulary takes; an id that doesn't fit is a
+    ValueError. Null texts count as empty, null ids come first, equal ids are entries of their own. A document's ids are held whole, and texts of any length are encoded in
+    segments. An empty table gives no shard and an empty manifest. Other columns are ignored.
     """
+    width = width or id_bytes(tokenizer, end_id)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
 
@@ -202,7 +215,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, widt
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [name], "docs": [done["docs"]], "tokens": [done["tokens"]]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("spread"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "spread").sortWithinPartitions("doc_id", "spread").drop("spread")
+    rows = rows.repartitionByRange(tasks_for(docs.sparkSession, table_bytes(docs)), "doc_id", "spread").sortWithinPartitions("doc_id", "spread").drop("spread")
     made = sorted((r.asDict() for r in rows.mapInArrow(write, "shard long, path string, docs long, tokens long").collect()), key=lambda r: r["shard"])  # a row for each shard
     start = 0
     for r in made:

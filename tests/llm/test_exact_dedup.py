@@ -88,3 +88,11 @@ def test_rows_that_stay(awkward, repeat):
     want = {(r["doc_id"], r["text_sha256"]) for r in E.exact_dedup(docs).filter("kept").collect()}
     got = [(r["doc_id"], hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "").encode()).hexdigest()) for r in left.collect()]
     assert len(got) == groups and set(got) == want
+
+
+def test_ids_beyond_floats_beside_null_ids(spark):
+    """Ids above 2^53 are kept to the last digit in parts that hold null ids too."""
+    big = 2**53 + 1
+    rows = [(big + 2 * k, f"text {k % 700}") for k in range(2000)] + [(None, f"null text {k}") for k in range(900)] + [(-(2**63), "low"), (2**63 - 1, "high"), (None, "high")]
+    got = E.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got), key=str) == slow(rows)[0]

@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from deskdb.llm import simhash as S
+from deskdb.llm.common import saved
 
 
 def slow_print(text):
@@ -114,3 +116,23 @@ def test_one_of_each_keeps_components_without_or_with_equal_ids_apart(spark):
     assert len({slow_print(t) for t in made}) == 40 == len(set(slow_components([slow_print(t) for t in made]).values()))
     got = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(sorted(set(rows), key=str), "doc_id long, text string").collect())
+
+
+@pytest.mark.parametrize("tile", [2, 5, 20])
+def test_hot_groups_are_dealt_out_again(spark, tile):
+    """Many fingerprints that share a block: all links are found in the finer groups and their tiles."""
+    rng = np.random.default_rng(tile)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, (40, 3), dtype=np.uint64)).sum(1, dtype=np.uint64) for b in base]))
+    classes = saved(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), "hot-classes")
+    got = {r["node"] % 2**64: r["root"] % 2**64 for r in S.components(S.fingerprint_links(classes, len(fps), tile=tile)).collect()}
+    groups = {}
+    for x, root in slow_components(fps.tolist()).items():
+        groups.setdefault(root, set()).add(got.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_masks_cover_the_bits_once():
+    for mask in (2**64 - 1, 0xFF00FF, (1 << 64) - (1 << 13)):
+        parts = S.runs_of(mask, 5)
+        assert sum(parts) == mask and max(x.bit_count() for x in parts) - min(x.bit_count() for x in parts) <= 1
