@@ -11,6 +11,7 @@ scoring reads every whole text, with no shuffle. Labels, lang, source and doc_id
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ RIDGE = 1e-3
 SLICE = 1 << 20
 WINDOW_WORDS = 200
 
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 #: Byte classes whose share among a text's bytes is a feature.
 CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b"|", b"#$%&*@^~=+<>\\/_", b".", b",;:", b"\n\r", b"\"'`()[]{}", bytes(range(32)).translate(None, b"\t\n\r")]
 FEATURES = ["upper", "digit", "mark", "bar", "symbol", "stop", "comma", "line", "bracket", "control", "high", "repeat", "distinct", "word_bytes", "log_words", "odd_words", "no_words"]
@@ -38,9 +40,8 @@ def text_features(text: str | None) -> list[float]:
     counts, words, repeats, fresh, odd = np.zeros(256, np.int64), 0, 0, 0.0, 0
     lo, held, last = 0, [], b""
     while lo < len(raw):
-        hi = min(len(raw), lo + SLICE)
-        if hi < len(raw) and (at := raw.rfind(b" ", lo, hi)) > lo:
-            hi = at
+        cut = _WHITE.search(raw, lo + SLICE)  # no word is cut
+        hi = cut.start() if cut else len(raw)
         part = raw[lo:hi]
         counts += np.bincount(np.frombuffer(part, np.uint8), minlength=256)
         own = part.split()
@@ -106,7 +107,8 @@ def fit(x: np.ndarray, y: np.ndarray, max_pairs: int = MAX_PAIRS, seed: int = 1)
         a, b = np.repeat(good, len(bad)), np.tile(bad, len(good))
     else:
         rng = np.random.default_rng(seed)
-        a, b = rng.choice(good, max_pairs), rng.choice(bad, max_pairs)
+        a, b = (np.resize(rng.permutation(rows), max_pairs) for rows in (good, bad))  # each row as often as any other, in some pair
+        b = rng.permutation(b)
     d = z[a] - z[b]
     for _ in range(60):
         p = 1 / (1 + np.exp(np.clip(d @ weights, -500, 500)))

@@ -66,3 +66,27 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     assert a == b
     c = {r["doc_id"]: r["score"] for r in Q.classify(docs.withColumns({"lang": F.lit("x"), "source": F.lit("y")}), labels).collect()}
     assert a == c
+
+
+def test_slices_cut_no_word(monkeypatch):
+    lines = "\n".join(f"Line{k} of it\tand MORE" for k in range(300)) + "x" * 500
+    want = Q.text_features(lines)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(Q, "SLICE", size)
+        assert Q.text_features(lines) == pytest.approx(want, abs=1e-12)
+
+
+def test_every_labelled_row_is_in_some_pair(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + rng.normal(size=300) > 0.8).astype(int)
+    seen = []
+    monkeypatch.setattr(Q.np, "resize", lambda rows, n: seen.append(set(rows.tolist())) or np.concatenate([rows] * (n // len(rows) + 1))[:n])
+    r = Q.fit(x, y, max_pairs=600)
+    assert seen == [set(np.flatnonzero(y == 1).tolist()), set(np.flatnonzero(y == 0).tolist())] and abs(r.weights[0]) > abs(r.weights[1])
+
+
+def test_ids_beyond_floats(spark):
+    docs = spark.createDataFrame([(2**53 + 1, "A good text of words."), (None, "zzz !!! ###"), (2**63 - 1, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2**53 + 1, 1), (None, 0)], "doc_id long, quality int")
+    assert {r["doc_id"] for r in Q.classify(docs, labels).collect()} == {2**53 + 1, None, 2**63 - 1}
