@@ -7,8 +7,11 @@
    to quotas, taking fresh documents before repeats.
 3. In each pass a pattern's documents are taken in seeded order, past those larger than what is left of its flow, until none fits;
    the tokens that remain are met by the one untaken document whose size comes nearest. Only slices in which a document
-   doesn't fit are walked row by row (1/4096 of a pattern's rows, or few rows); all other rows are decided by their slice
-   and size alone, so a hot source needs neither a shuffle nor one task.
+   doesn't fit are walked row by row (1/4096 of a pattern's rows or, in large tables, about the root of their number); all other rows are
+   decided by their slice and size alone, so a hot source needs neither a shuffle nor one task.
+
+Where every document has one source, as in the query and the pipeline (their contract gives a document the target of its own source), no two patterns
+compete for a quota, and the flow of a pattern is the lesser of its quota and what its passes offer. Overlapping sources are given by ``members``.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from deskdb.llm.common import documents, saved, text_of
 
-#: Slices of the seeded order, by the hash's leading bits.
+#: Slices of the seeded order, by the hash's leading bits: so many bits at least, and more so that slices are about as many as a slice's rows.
 SLICE_BITS = 12
 #: Rows behind a slice that are walked together with it.
 ROWS_TOGETHER = 4_096
@@ -95,9 +98,9 @@ def weigh(sources: list) -> dict:
     return {s: float((3, 1, 2)[k % 3]) for k, s in enumerate(named)}
 
 
-def _span(lo: int, hi: int, most: int) -> tuple:
+def _span(lo: int, hi: int, most: int, bits: int) -> tuple:
     """The slices from ``lo`` to before ``hi``, as a span."""
-    return (lo << 63 - SLICE_BITS, -1, -1, (hi << 63 - SLICE_BITS) - 1, (1 << 63) - 1, (1 << 63) - 1, most)
+    return (lo << 63 - bits, -1, -1, (hi << 63 - bits) - 1, (1 << 63) - 1, (1 << 63) - 1, most)
 
 
 def _first_fits(rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +133,9 @@ def mix(docs: DataFrame, members: Column | None = None, share: float = 1.5, most
     members = members if members is not None else F.array("source")
     crc = F.crc32(text_of().cast("binary"))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(F.array_distinct(members)).alias("pattern"), words().alias("size"), crc.alias("crc"), F.xxhash64("doc_id", crc, F.lit(seed)).alias("u"))
-    rows = saved(rows.withColumn("slice", F.shiftrightunsigned("u", 64 - SLICE_BITS).cast("int")).withColumn("u", F.shiftrightunsigned("u", 1)), "mix")
+    rows = saved(rows.withColumn("u", F.shiftrightunsigned("u", 1)), "mix")
+    bits = max(SLICE_BITS, rows.count().bit_length() // 2)
+    rows = rows.withColumn("slice", F.shiftright("u", 63 - bits).cast("int"))
     sums = saved(rows.groupBy("pattern", "slice").agg(F.sum("size").alias("tokens")), "mix-slices")
     offers = {tuple(r["pattern"]): int(r["tokens"]) for r in sums.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).collect()}
     sizes: dict = {}
@@ -156,7 +161,7 @@ def mix(docs: DataFrame, members: Column | None = None, share: float = 1.5, most
         cut = {}
         for r in first.collect():
             key, c = going[r["n"]], r["c"]
-            spans[key].append(_span(ahead[key], c["slice"] if c else 1 << SLICE_BITS, rest[key]))
+            spans[key].append(_span(ahead[key], c["slice"] if c else 1 << bits, rest[key], bits))
             rest[key] -= c["start"] if c else r["end"]
             if c and rest[key]:
                 cut[r["n"]] = c
@@ -174,7 +179,7 @@ def mix(docs: DataFrame, members: Column | None = None, share: float = 1.5, most
             rest[key] -= r["tokens"]
         for n in cut:
             ahead[going[n]] = lasts[n] + 1
-        going = [going[n] for n in sorted(cut) if rest[going[n]] and ahead[going[n]] < 1 << SLICE_BITS]
+        going = [going[n] for n in sorted(cut) if rest[going[n]] and ahead[going[n]] < 1 << bits]
     # the untaken document that comes nearest to what is left, if it is nearer than none
     place = F.struct("u", "size", "rid")
     within = lambda all_: F.exists(all_, lambda m: (F.col("size") <= m["most"]) & (place >= F.struct(m["lo_u"].alias("u"), m["lo_size"].alias("size"), m["lo_rid"].alias("rid"))) & (place <= F.struct(m["hi_u"].alias("u"), m["hi_size"].alias("size"), m["hi_rid"].alias("rid"))))

@@ -123,3 +123,18 @@ def test_filling_goes_on_past_documents_that_do_not_fit(spark, monkeypatch, toge
         for part in (min(flow, sizes[s]), max(0, flow - sizes[s])):
             want.update(slow_fill(own, part))
         assert {r["rid"]: r["passes"] for r in got if r["source"] == s and r["passes"]} == dict(want)
+
+
+def test_slices_grow_with_the_rows(spark, monkeypatch):
+    """What is taken depends on the seeded order, not on how it is sliced, but for the row that is walked to the end."""
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7), f"s{k % 3}") for k in range(900)], "doc_id long, text string, source string")
+    got = []
+    for bits in (1, 4, 12):
+        monkeypatch.setattr(M, "SLICE_BITS", bits)
+        rows = M.mix(docs).collect()
+        sums = {}
+        for r in rows:
+            sums[r["source"]] = sums.get(r["source"], 0) + r["taken"]
+        got.append((sums, {(r["doc_id"], r["taken"]) for r in rows}))
+        assert all(abs(sums[r["source"]] - r["target"]) <= 7 for r in rows)
+    assert got[0] == got[1] == got[2]
