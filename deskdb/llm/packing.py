@@ -191,7 +191,9 @@ def place_pieces(lengths: np.ndarray, numbers: np.ndarray, t: dict, window: int,
     if len(rows) and not whole.all():
         order = np.lexsort((n, key))
         span = int(max(rows[:, 1].max(), n.max())) + 1
-        k = np.searchsorted(rows[:, 0].astype(object) * span + rows[:, 1], key[order].astype(object) * span + n[order], side="right") - 1 if span > 1 << 40 else np.searchsorted(rows[:, 0] * span + rows[:, 1], key[order] * span + n[order], side="right") - 1
+        whole_numbers = object if span > 1 << 40 else np.int64  # beyond it the product could pass 64 bits
+        known, asked = (a.astype(whole_numbers) * span + b for a, b in ((rows[:, 0], rows[:, 1]), (key[order], n[order])))
+        k = np.searchsorted(known, asked, side="right") - 1
         hit = np.maximum(k, 0)
         d = n[order] - rows[hit, 1]
         seq = np.where(whole[order], sequence[order], rows[hit, 4] + d % rows[hit, 2])
@@ -230,9 +232,13 @@ def sequences(packed: DataFrame, pieces: DataFrame) -> DataFrame:
     return put.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece of ``docs``; ``with_ids``: and ids, as cut_pieces gives them."""
     pieces = saved(cut_pieces(docs, tokenizer or public_path(), end_id), "pieces")
-    return pack(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    packed = pack(pieces).select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    if with_ids:
+        packed = pieces.select("piece", "ids").join(packed.hint("shuffle_hash"), "piece")
+    return packed.drop("piece")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,3 +206,30 @@ def test_least_squares_against_brute_force():
 
 def test_combinations():
     assert P.combinations(4, 3) == [(4,), (3, 1), (2, 2), (2, 1, 1)] and len(P.combinations(128, 3)) == 1430
+
+
+def test_width_follows_the_vocabulary(spark, monkeypatch, tmp_path):
+    import json
+
+    path = tmp_path / "many.json"
+    path.write_text(json.dumps({"version": "1.0", "added_tokens": [], "model": {"type": "WordLevel", "vocab": {f"w{k}": k for k in range(70_001)}, "unk_token": "w0"}}))
+    assert S.id_bytes(T.public_path(), 2) == 2 and S.id_bytes(T.public_path(), 1 << 16) == 4 and S.id_bytes(str(path), 2) == 4
+    writer = S.SstWriter(pa.BufferOutputStream(), 2, 2)
+    with pytest.raises(ValueError):
+        writer.add(S.key_of(1), np.array([70_000, 2], np.uint32))
+    docs = spark.createDataFrame([(2**53 + 1, "some words"), (2**53 + 2, None), (None, "x")], "doc_id long, text string")
+    folder = scratch_path(spark, "sst-wide")
+    made = S.write_shards(docs, folder, T.public_path(), 70_000)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in S.read_shards(spark, folder, made).collect())[-1] == (2**53 + 2, 1)
+
+
+def test_packed_ids_make_the_windows(spark, awkward, plain):
+    rows, docs = awkward
+    windows = defaultdict(list)
+    for r in P.pack_documents(docs, with_ids=True).collect():
+        ids = np.frombuffer(bytes(r["ids"]), "<u4")
+        assert crc(ids) == r["ids_crc32"] and len(ids) == r["length"]
+        windows[r["sequence_id"]].append((r["offset"], ids.tolist()))
+    made = [[x for _, part in sorted(w) for x in part] for w in windows.values()]
+    assert all(len(w) <= 2048 and all(at == sum(len(p) for _, p in sorted(parts)[:k]) for k, (at, _) in enumerate(sorted(parts))) for w, parts in zip(made, windows.values()))
+    assert sorted(x for w in made for x in w) == sorted(x for r in rows for x in [*plain(r[1]), 1])
