@@ -14,6 +14,11 @@ differ in 4 bits at most are linked; a component is what links reach.
    all pairs. A group beyond TILE fingerprints is dealt out once more, by d + 1 runs of the bits that its members needn't agree on, one of which two that are
    linked must share; what is still beyond TILE is cut into tiles, and every pair of tiles is searched by a task of its own.
 4. Components are found by distributed pointer rounds (see ``components``) and joined back to the rows.
+
+``similar_rows`` links by similarity instead: rows whose sets of 5-word shingles have 0.8 or more of their union in common. Such rows differ in 8 bits or so, which no
+choice of blocks covers at a cost that holds; so classes are dealt out by samples of bits, over as many tables as find a pair that differs in 10 bits with 95%
+(some n^0.25 of them for n classes). Within a group the index searches up to 14 bits, the links of a minimum spanning forest by bits are
+candidates, and a candidate counts if the shingle sets themselves are as similar as asked.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from deskdb.llm.common import documents, keep_rows, saved, spread, table_bytes, tasks_for, text_of
 from deskdb.llm.components import components
@@ -123,8 +128,8 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def simhash(texts: list[str | None], words: int = WORDS) -> np.ndarray:
-    """The fingerprint of each text; without words, zero."""
+def simhash(texts: list[str | None], words: int = WORDS, sets: list | None = None) -> np.ndarray:
+    """The fingerprint of each text; without words, zero. ``sets`` gets each text's distinct shingles, as sorted 32-bit hashes."""
     plain = [b" ".join((t or "").encode().lower().split()) for t in texts]  # bytes: A-Z and the six ASCII white-space characters only
     out, lo = np.zeros(len(plain), np.uint64), 0
     while lo < len(plain):
@@ -144,7 +149,11 @@ def simhash(texts: list[str | None], words: int = WORDS) -> np.ndarray:
             first = last - n + 1
             k = np.repeat(first - (np.cumsum(made) - made), made) + np.arange(int(made.sum()))
             ends = end[np.minimum(k + words - 1, np.repeat(last, made))]
-            out[some] = majority(xxh64_spans(buffer, begin[k], ends - begin[k]), made)
+            hashes = xxh64_spans(buffer, begin[k], ends - begin[k])
+            out[some] = majority(hashes, made)
+        if sets is not None:
+            parts = dict(zip(some, np.split(hashes.astype(np.uint32), np.cumsum(made)[:-1]))) if some else {}
+            sets += [np.unique(parts[k]) if k in parts else np.empty(0, np.uint32) for k in range(lo, hi)]
         lo = hi
     return out
 
@@ -332,6 +341,142 @@ def simhash_components(docs: DataFrame, most: int = BITS, text: str = "text") ->
     return component_rows(docs, most, text).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+SIMILARITY, SIMILAR_WORDS = 0.8, 5
+#: Bits by which candidates differ at most; a pair that differs in AIM_BITS is found with 1 - exp(-AIM_TABLES).
+REACH, AIM_BITS, AIM_TABLES = 14, 10, 3.0
+#: Classes in a group of a table: on average, and at most.
+FEW, MANY = 64, 4096
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Numbers of the links of a minimum spanning forest over nodes 0 to n - 1: in each round every tree takes its cheapest link."""
+    order = np.lexsort((b, a, cost))
+    a, b, label, taken = a[order], b[order], np.arange(n), []
+    live = np.arange(len(a))
+    while True:
+        x, y = label[a[live]], label[b[live]]
+        apart = x != y
+        if not apart.any():
+            return order[np.concatenate(taken)] if taken else np.empty(0, np.int64)
+        live, x, y = live[apart], x[apart], y[apart]
+        best = np.full(n, len(a))
+        np.minimum.at(best, x, live)
+        np.minimum.at(best, y, live)
+        pick = np.unique(best[best < len(a)])
+        taken.append(pick)
+        label = _unite(label, a[pick], b[pick])
+
+
+def nearest_links(unit: np.ndarray, fp: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints linked by a minimum spanning forest of each unit's pairs that differ in ``reach`` bits at most."""
+    order = np.lexsort((gray_rank(fp), unit))
+    unit, fp = unit[order], fp[order]
+    index, at = GrayIndex(unit, fp), np.arange(len(fp))
+    width = np.cumsum(np.searchsorted(unit, unit, "right") - np.searchsorted(unit, unit))
+    a = b = np.empty(0, np.int64)
+    lo = 0
+    while lo < len(fp):  # the forest so far goes on with the next queries' pairs
+        hi = max(lo + 1, int(np.searchsorted(width, (width[lo - 1] if lo else 0) + FRONTIER, "right")))
+        q, e = index.search(unit[lo:hi], fp[lo:hi], reach, at[lo:hi])
+        a, b = np.concatenate([a, q + lo]), np.concatenate([b, e])
+        keep = spanning(len(fp), a, b, np.bitwise_count(fp[a] ^ fp[b]).astype(np.int64))
+        a, b, lo = a[keep], b[keep], hi
+    return fp[a], fp[b]
+
+
+def bit_samples(n_classes: int, seed: int = 7) -> list[list[int]]:
+    """For each table the order in which it asks for bits, and first how many: enough that groups hold FEW classes on average."""
+    asked = max(8, (n_classes // FEW).bit_length())
+    tables = int(np.ceil(AIM_TABLES / (1 - AIM_BITS / 64) ** asked))
+    rng = np.random.default_rng(seed)
+    return [[min(asked, 64), *rng.permutation(64).tolist()] for _ in range(tables)]
+
+
+def similar_candidates(classes: DataFrame, n_classes: int) -> DataFrame:
+    """(a, b): distinct pairs of fingerprints that may be of similar rows. classes: a saved table of distinct fp."""
+    spark, tables = classes.sparkSession, bit_samples(n_classes)
+
+    def mask(t: list[int], lo: int, hi: int) -> Column:
+        bits = sum(1 << b for b in t[1:][lo:hi])
+        return F.lit(bits - (1 << 64) if bits >> 63 else bits).cast("long")
+
+    first = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(mask(t, 0, t[0])).alias("bits")) for k, t in enumerate(tables)])
+    rows = classes.select("fp", F.explode(first).alias("g")).select("fp", "g.k", F.xxhash64("g.k", "g.bits").alias("unit"))
+    done = tables[0][0]
+    while done < 64:  # groups beyond MANY ask for more bits
+        hot = saved(rows.groupBy("unit").count().filter(F.col("count") > MANY).select("unit"), "many")
+        if not hot.take(1):
+            break
+        more = F.element_at(F.array(*[mask(t, done, done + 6) for t in tables]), F.col("k") + 1)
+        rows = rows.join(hot.withColumn("hot", F.lit(True)), "unit", "left").select("fp", "k", F.when(F.col("hot"), F.xxhash64("unit", F.col("fp").bitwiseAND(more))).otherwise(F.col("unit")).alias("unit"))
+        done += 6
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by unit; whole units are searched together until there are TOGETHER rows."""
+        held: list[tuple] = []
+
+        def found(upto: int | None) -> pa.RecordBatch:
+            unit, fp = (np.concatenate(c) for c in zip(*held))
+            cut = len(unit) if upto is None else int(np.searchsorted(unit, upto))
+            held[:] = [(unit[cut:], fp[cut:])]
+            a, b = nearest_links(unit[:cut], fp[:cut])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).view(np.int64)), pa.array(np.maximum(a, b).view(np.int64))], ["a", "b"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column("unit").to_numpy(), b.column("fp").to_numpy().view(np.uint64)))
+                if sum(len(x[0]) for x in held) >= TOGETHER:
+                    yield found(held[-1][0][-1])
+        if held:
+            yield found(None)
+
+    dealt = rows.select("unit", "fp").repartition(tasks_for(spark, len(tables) * table_bytes(classes)), "unit").sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, text: str = "text") -> DataFrame:
+    """doc_id, digest, rid, root for each row of ``docs``: rows of one root are connected by links of ``similarity`` or more (Jaccard, over sets of shingles).
+
+    Rows without words are alike, rows of fewer words than a shingle have one shingle. Equal texts share a root. Null texts count as empty; null doc_ids and
+    equal ones are rows of their own; an empty table gives an empty result; other columns are ignored. A text's shingles are held whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part, sets = b.slice(lo, 512), []
+                fp = simhash(part.column("text").to_pylist(), words, sets)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(fp.view(np.int64)), pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "fp", "grams"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for one, two in zip(b.column("one"), b.column("two")):
+                x, y = (np.frombuffer(s.as_buffer(), "<u4") for s in (one, two))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("digest"), F.col(text).alias("text"))
+    prints = saved(spread(rows).mapInArrow(run, "doc_id long, digest long, fp long, grams binary").withColumn("rid", F.monotonically_increasing_id()), "similar")
+    classes = saved(prints.groupBy("fp").agg(F.min("rid").alias("first")), "similar-classes")
+    ends = similar_candidates(classes.select("fp"), classes.count()).join(classes.select(F.col("fp").alias("a"), F.col("first").alias("ra")), "a").join(classes.select(F.col("fp").alias("b"), F.col("first").alias("rb")), "b")
+    within = prints.select("fp", "rid").join(classes, "fp").filter("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b"))
+    links = saved(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(within), "candidates")  # a table: AQE splits hot classes
+    grams = prints.select("rid", "grams")
+    both = links.join(grams.toDF("a", "one"), "a").join(grams.toDF("b", "two"), "b")
+    roots = components(both.mapInArrow(alike, "a long, b long"))
+    return prints.select("doc_id", "digest", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("doc_id", "digest", "rid", F.coalesce("root", "rid").alias("root"))
+
+
+def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, text: str = "text") -> DataFrame:
+    """Of the rows of ``docs`` that similarity connects the one with the smallest doc_id (null last, then the first row), with all its columns."""
+    found = saved(similar_rows(docs, similarity, words, text), "near")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid", "digest")).alias("f")).select("f.doc_id", "f.digest")
+    repeated = bool(found.groupBy("doc_id", "digest").count().filter("count > 1").take(1))
+    return keep_rows(docs, first, {"doc_id": F.col("doc_id").cast("long"), "digest": F.xxhash64(text_of(text))}, repeated, text_of(text))
+
+
 def one_of_each(docs: DataFrame, most: int = BITS, text: str = "text") -> DataFrame:
     """Of each component of ``docs`` the row with the smallest doc_id, with all its columns. Components without doc_ids, or with equal ones, stay apart."""
     found = saved(component_rows(docs, most, text), "near")

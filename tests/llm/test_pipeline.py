@@ -1,3 +1,5 @@
+import random
+import re
 from collections import Counter
 
 import corpus_pipeline as C
@@ -35,13 +37,12 @@ def test_stages_one_by_one(spark):
 
     kept = saved(steps["near dedup"](spark, kept, sf), "p3")
     ids = sorted(two)
-    prints = simhash.simhash([two[i] for i in ids])
-    near = np.bitwise_count(prints[:, None] ^ prints[None]) <= 4
+    near = slow_similar([two[i] for i in ids])
     root = list(range(len(ids)))
     for _ in ids:
         root = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(len(ids))]
-    three = {r["doc_id"] for r in kept.collect()}
-    assert three == {ids[r] for r in root}
+    three, want = {r["doc_id"] for r in kept.collect()}, {ids[r] for r in root}
+    assert want <= three and len(three) < len(two) and len(three - want) <= 0.1 * (len(two) - len(want)) + 1  # found by fingerprints: nine in ten at least
 
     kept3 = kept
     kept = saved(steps["mixing"](spark, kept, sf), "p4")
@@ -72,6 +73,66 @@ def test_awkward_rows(spark, awkward, no_rows, stage):
         assert out.count() <= 2 * d.count() + 20
 
 
+def slow_similar(texts):
+    """Which pairs of texts have 0.8 of their 5-word shingles in common."""
+    def shingles(t):
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    return np.array([[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]).reshape(len(sets), len(sets))
+
+
+def test_similar_rows_are_those_of_brute_force(spark):
+    """Texts with every share of changed words: no false link, and 95% of the true ones connected."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for g in range(60):
+        base = [word() for _ in range(rng.choice([3, 6, 40, 150, 400]))]
+        texts.append(base)
+        for _ in range(rng.randint(0, 4)):
+            share = rng.choice([0.005, 0.01, 0.02, 0.04, 0.1])
+            texts.append([w if rng.random() > share else word() for w in base])
+    texts = [" ".join(t) for t in texts] + ["", None, " \t"]
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    near = slow_similar(texts)
+    reach = near.copy()
+    for _ in range(8):
+        reach = (reach.astype(int) @ reach.astype(int)) > 0
+    same = np.array([[got[i] == got[j] for j in range(len(texts))] for i in range(len(texts))])
+    assert not (same & ~reach).any()
+    pairs = np.triu(near, 1)
+    assert pairs.sum() > 60 and (same & pairs).sum() >= 0.95 * pairs.sum()
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_spanning_forest_is_least(seed):
+    rng = np.random.default_rng(seed)
+    a, b, cost = rng.integers(0, 30, 60), rng.integers(0, 30, 60), rng.integers(0, 5, 60)
+    got = simhash.spanning(30, a, b, cost)
+    root, want, links = list(range(30)), 0, 0
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k in np.argsort(cost, kind="stable").tolist():
+        x, y = find(int(a[k])), find(int(b[k]))
+        if x != y:
+            root[x], want, links = y, want + int(cost[k]), links + 1
+    assert len(got) == links == len(set(got.tolist())) and cost[got].sum() == want
+
+
+def test_large_groups_ask_for_more_bits(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MANY", 20)
+    base = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(150)]
+    got = simhash.one_of_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert 1 <= len(got) <= 3 and min(r["doc_id"] for r in got) == 0
+
+
 def test_near_dedup_keeps_one_of_each(spark, awkward):
     rows, docs = awkward
     got = simhash.one_of_each(docs.union(docs)).collect()
