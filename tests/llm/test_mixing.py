@@ -138,3 +138,35 @@ def test_slices_grow_with_the_rows(spark, monkeypatch):
         got.append((sums, {(r["doc_id"], r["taken"]) for r in rows}))
         assert all(abs(sums[r["source"]] - r["target"]) <= 7 for r in rows)
     assert got[0] == got[1] == got[2]
+
+
+def slow_flow(offers, needs, passes):
+    """(tokens, cost) of the best flow, by trying all: most tokens, then least cost."""
+    arcs = [(p, k, s) for p in offers for k in range(passes) for s in p]
+    best = (0, 0)
+
+    def go(n, left, want, tokens, cost):
+        nonlocal best
+        if n == len(arcs):
+            best = max(best, (tokens, -cost))
+            return
+        p, k, s = arcs[n]
+        for x in range(min(left[p, k], want[s]) + 1):
+            go(n + 1, {**left, (p, k): left[p, k] - x}, {**want, s: want[s] - x}, tokens + x, cost + k * x)
+
+    go(0, {(p, k): c for p, c in offers.items() for k in range(passes)}, dict(needs), 0, 0)
+    return best[0], -best[1]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_flow_is_the_best_of_all(seed):
+    rng = random.Random(seed)
+    sources = ["a", "b", "c"][: rng.randint(1, 3)]
+    patterns = [tuple(sources[:1])] + ([tuple(sources)] if len(sources) > 1 else [])
+    offers = {p: rng.randint(0, 3) for p in patterns}
+    needs = {s: rng.randint(0, 4) for s in sources}
+    got = M.min_cost_flow(offers, needs, 2)
+    for p in offers:
+        assert all(sum(got.get((p, k, s), 0) for s in p) <= offers[p] for k in range(2))
+    assert all(sum(n for (_, _, t), n in got.items() if t == s) <= needs[s] for s in sources)
+    assert (sum(got.values()), sum(k * n for (_, k, _), n in got.items())) == slow_flow(offers, needs, 2)

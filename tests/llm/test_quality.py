@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -90,3 +91,31 @@ def test_ids_beyond_floats(spark):
     docs = spark.createDataFrame([(2**53 + 1, "A good text of words."), (None, "zzz !!! ###"), (2**63 - 1, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(2**53 + 1, 1), (None, 0)], "doc_id long, quality int")
     assert {r["doc_id"] for r in Q.classify(docs, labels).collect()} == {2**53 + 1, None, 2**63 - 1}
+
+
+def slow_features(text):
+    """The features by their definition, character by character over the text's bytes."""
+    raw = (text or "").encode()
+    words, word = [], []
+    for b in raw:
+        if b in b" \t\n\x0b\x0c\r":
+            if word:
+                words.append(bytes(word))
+            word = []
+        else:
+            word.append(b)
+    words += [bytes(word)] if word else []
+    share = lambda test: sum(map(test, raw)) / max(1, len(raw))
+    out = [share(lambda b, c=c: b in c) for c in Q.CLASSES] + [share(lambda b: b >= 128)]
+    w = max(1, len(words))
+    out.append(sum(a == b for a, b in zip(words, words[1:])) / w)
+    out.append(sum(len(set(words[k : k + 200])) for k in range(0, len(words), 200)) / w)
+    out += [min(50, len(raw) / w) / 10, math.log(1 + len(words)) / 10, sum(x.isupper() for x in words) / w, float(not words)]
+    return out
+
+
+def test_features_equal_slow_ones(spark):
+    texts = [r["text"] for r in documents(spark, "/root/testdata/sf0.001").limit(60).collect()] + [None, "", " \n", "A", "a a a A A", "x" * 3000, "ünï ÇØ 日本 😀\x01\x7f"]
+    for t in texts:
+        assert Q.text_features(t) == pytest.approx(slow_features(t), abs=1e-12)
+    assert len(slow_features("a")) == len(Q.FEATURES)
