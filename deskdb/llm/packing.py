@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from deskdb.llm.common import documents, numbered, saved, spread
-from deskdb.llm.tokens import encoded, public_path
+from deskdb.llm.tokens import encoded, id_bytes, public_path
 
 WINDOW = 2048
 BINS = 128
@@ -28,7 +29,11 @@ DEPTH = 3
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """piece, doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens: full windows, then the remainder of each document."""
+    """piece, doc_id, start, length, ids, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), doc_tokens: full windows, then the remainder of each document.
+
+    ids are little-endian unsigned integers of 2 bytes where the vocabulary allows it, else 4.
+    """
+    width = id_bytes(tokenizer, end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,7 +42,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDO
                 tokens = np.append(tokens, np.uint32(end_id)).astype("<u4")
                 for lo in range(0, len(tokens), window):
                     part = tokens[lo : lo + window]
-                    rows.append((ids[k], lo, len(part), part.tobytes(), len(tokens)))
+                    rows.append((ids[k], lo, len(part), part.astype(f"<u{width}").tobytes(), zlib.crc32(part), len(tokens)))
                     size += len(part)
                 if size > 1 << 20:
                     yield _batch(rows)
@@ -45,13 +50,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDO
             if rows:
                 yield _batch(rows)
 
-    made = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long")
+    made = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))).mapInArrow(cut, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long")
     return made.withColumn("piece", F.monotonically_increasing_id())
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "length", "ids", "doc_tokens"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"])
 
 
 def combinations(total: int, depth: int) -> list[tuple[int, ...]]:
@@ -218,7 +223,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, bins: int = BINS, depth: int =
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(sequence), pa.array(place)], [*names, "sequence_id", "place"])
 
     names = ["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    slim = pieces.select("piece", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    slim = pieces.select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens")
     rows = numbered(slim, "length", ["doc_id", "start", "piece"], "number").select(*names, "number")
     put_ = rows.mapInArrow(put, "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, place long")
     before = W.partitionBy("sequence_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
@@ -227,9 +232,14 @@ def pack(pieces: DataFrame, window: int = WINDOW, bins: int = BINS, depth: int =
 
 def sequences(packed: DataFrame, pieces: DataFrame) -> DataFrame:
     """sequence_id, ids: the packed windows themselves (little-endian unsigned 32-bit ids, unpadded). A group is one window at most."""
-    both = packed.select("piece", "sequence_id", "offset").join(pieces.select("piece", "ids"), "piece")
-    put = both.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    return put.select("sequence_id", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
+    both = packed.select("piece", "sequence_id", "offset", "length").join(pieces.select("piece", "ids"), "piece")
+    put = both.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").alias("n"))
+
+    @F.arrow_udf("binary")
+    def wide(ids: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x, f"<u{len(x) // k}").astype("<u4").tobytes() for x, k in zip(ids.to_pylist(), n.to_pylist())], pa.binary())
+
+    return put.select("sequence_id", wide(F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])), F.col("n")).alias("ids"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = False) -> DataFrame:

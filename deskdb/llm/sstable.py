@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deskdb.llm.common import documents, scratch_path, table_bytes, tasks_for
-from deskdb.llm.tokens import encoded, public_path
+from deskdb.llm.tokens import encoded, id_bytes, public_path
 
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, PROBES = 10, 7
@@ -175,13 +175,6 @@ class SstReader:
         return out
 
 
-def id_bytes(tokenizer: str, end_id: int) -> int:
-    """2 if every id of the vocabulary and ``end_id`` fit two bytes, else 4."""
-    from tokenizers import Tokenizer
-
-    return 2 if max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
-
-
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int | None = None, text: str = "text") -> list[dict]:
     """Writes the shards and returns their manifest: shard, path, docs, tokens, and start (ids in the shards before it).
 

@@ -167,7 +167,7 @@ def test_sequences_hold_their_ids(spark, awkward, plain):
     pieces = saved(P.cut_pieces(docs, T.public_path(), 1), "pieces-test")
     packed = P.pack(pieces)
     got = {r["sequence_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in P.sequences(packed, pieces).collect()}
-    ids = {r["piece"]: np.frombuffer(r["ids"], "<u4").tolist() for r in pieces.collect()}
+    ids = {r["piece"]: np.frombuffer(r["ids"], "<u2").tolist() for r in pieces.collect()}
     for r in packed.collect():
         assert got[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == ids[r["piece"]]
     assert sum(map(len, got.values())) == sum(map(len, ids.values()))
@@ -227,7 +227,7 @@ def test_packed_ids_make_the_windows(spark, awkward, plain):
     rows, docs = awkward
     windows = defaultdict(list)
     for r in P.pack_documents(docs, with_ids=True).collect():
-        ids = np.frombuffer(bytes(r["ids"]), "<u4")
+        ids = np.frombuffer(bytes(r["ids"]), "<u2")  # 50,000 words take two bytes
         assert crc(ids) == r["ids_crc32"] and len(ids) == r["length"]
         windows[r["sequence_id"]].append((r["offset"], ids.tolist()))
     made = [[x for _, part in sorted(w) for x in part] for w in windows.values()]
