@@ -15,15 +15,16 @@ differ in 4 bits at most are linked; a component is what links reach.
    linked must share; what is still beyond TILE is cut into tiles, and every pair of tiles is searched by a task of its own.
 4. Components are found by distributed pointer rounds (see ``components``) and joined back to the rows.
 
-``similar_rows`` links by similarity instead: rows whose sets of 5-word shingles have 0.8 or more of their union in common. Such rows differ in 8 bits or so, which no
-choice of blocks covers at a cost that holds; so classes are dealt out by samples of bits, over as many tables as find a pair that differs in 10 bits with 95%
-(some n^0.25 of them for n classes). Within a group the index searches up to 14 bits, the links of a minimum spanning forest by bits are
-candidates, and a candidate counts if the shingle sets themselves are as similar as asked.
+``similar_rows`` links by similarity instead: rows whose sets of 5-word shingles have 0.8 or more of their union in common. Most are found by fingerprints: classes are
+dealt out by samples of bits, the index searches each group up to 14 bits, the links of a minimum spanning forest by bits are candidates, and a candidate counts if
+the shingle sets themselves are as similar as asked. Which pairs this finds is a matter of chance, so what it leaves apart is then searched exactly (``part_keys``): sets that
+are as similar as asked differ in few shingles, so of a few more ranges of hashes than that they agree on one, and whatever agrees on a range is compared unless it is connected already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -434,10 +435,223 @@ def similar_candidates(classes: DataFrame, n_classes: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def alike(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``links`` (a, b) whose rows' sets have the similarity. grams: rid, grams (sorted 32-bit hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for one, two in zip(b.column("one"), b.column("two")):
+                x, y = (np.frombuffer(s.as_buffer(), "<u4") for s in (one, two))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return links.join(grams.toDF("a", "one"), "a").join(grams.toDF("b", "two"), "b").mapInArrow(run, "a long, b long")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(29))
+
+
+LEVEL = np.uint64(63)
+
+
+def differing(sizes: int | np.ndarray, similarity: float) -> float | np.ndarray:
+    """What two sets of the similarity differ in at most, given the sum of their sizes; rounded up a little, so that floor() is right."""
+    return (1 - similarity) / (1 + similarity) * sizes + 1e-9
+
+
+@lru_cache
+def size_classes(similarity: float) -> np.ndarray:
+    """The greatest size of each class; no set is as similar to sets of other classes than its own and the two beside it."""
+    tops = [5]
+    while tops[-1] < 1 << 31 and len(tops) < 63:
+        tops.append(max(-(-3 * tops[-1] // 2), int(np.ceil(tops[-1] / similarity))))
+    return np.array([*tops[:-1], max(tops[-1], 1 << 31)])
+
+
+#: 64-bit words of a sketch.
+SKETCH = 4
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of hashes falls on them: two sets' sketches differ in no more bits than the sets in hashes."""
+    odd = np.bincount(grams >> np.uint32(7) & np.uint32(64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<u8")
+
+
+def part_keys(grams: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys (64-bit) of a set of sorted 32-bit hashes: any two different sets of the similarity have one in common.
+
+    Sets are in classes of sizes up to ``top``, and in the next class too if a partner may be there. Two sets of the similarity differ in at most
+    (1 - s) / (1 + s) of both sizes' sum; the hashes are cut into more ranges than that, so that some range is the same in both. A key is
+    a range with what the set has there, and in its last 6 bits the class: such a pair has a key of the class of its larger set in common. Empty ranges say nothing and give no key, unless the set has so many that they could be all that agree.
+    """
+    n, out = len(grams), []
+    most = int(n / similarity + 1e-9)
+    bound = lambda size: int(differing(size, similarity))
+    if not n or not bound(n + most):
+        return np.empty(0, np.uint64)  # only equal sets are as similar
+    tops = size_classes(similarity)
+    level = int(np.searchsorted(tops, n))
+    wide = grams.astype(np.uint64)
+    while True:
+        top = int(tops[level])
+        parts = bound(2 * top) + 2 + bound(2 * top) // 8
+        at = (wide * np.uint64(parts)) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        with np.errstate(over="ignore"):
+            salt = np.uint64(level + 1) * P1
+            out.append(_mixed(np.add.reduceat(_mixed(wide), first) + _mixed(at[first] * P2 + salt)) & ~LEVEL | np.uint64(level))
+            if parts - len(first) >= parts - bound(n + min(most, top)):
+                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), at[first], assume_unique=True)
+                out.append(_mixed(_mixed(empty * P2 + salt)) & ~LEVEL | np.uint64(level))
+        if most <= top:
+            return np.concatenate(out)
+        level += 1
+
+
+#: Keys and pairs that leave a Python worker at a time.
+STEP_ROWS = 1 << 17
+
+
+def _key_rows(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys = np.concatenate([k for _, k in held])
+            rids = np.repeat(np.array([r for r, _ in held], np.int64), [len(k) for _, k in held])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rids)], ["key", "rid"])
+
+        for b in batches:
+            for rid, blob in zip(b.column("rid").to_pylist(), b.column("grams")):
+                held.append((rid, part_keys(np.frombuffer(blob.as_buffer(), "<u4"), similarity)))
+                many += len(held[-1][1])
+                if many >= STEP_ROWS:
+                    yield out()
+                    many = 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns, of which the first is sorted, in pieces that cut no run of equal values of it."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([b.column(c).to_numpy() for c in columns])
+        last = held[-1][0][-1]
+        if held[0][0][0] != last:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(cols[0], last))
+            yield [c[:cut] for c in cols]
+            held = [[c[cut:] for c in cols]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, rid), sorted by key, of keys that occur more than once."""
+    for key, rid in _groups(batches, ["key", "rid"]):
+        same = key[1:] == key[:-1]
+        more = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        yield pa.RecordBatch.from_arrays([pa.array(key[more]), pa.array(rid[more])], ["key", "rid"])
+
+
+def _pairs_apart(similarity: float, leader: int | None):
+    """Rows (key, rid, root, size, sketch in words), sorted by key, to pairs of one key and several roots whose sizes and sketches allow the similarity: with one member
+    of the group, or (None) all."""
+    tops = size_classes(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+
+        def out() -> pa.RecordBatch:
+            a, b = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            return pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], ["a", "b"])
+
+        for key, rid, root, size, *words in _groups(batches, ["key", "rid", "root", "size", *SKETCH_WORDS]):
+            bits, level, own = np.stack(words, 1).view(np.uint64), key & int(LEVEL), np.searchsorted(tops, size)
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            turn = np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+            cuts = [(lo, hi) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if turn[hi - 1] > turn[lo]]  # of several roots
+            for lo, hi in cuts:
+                for k in range(lo, hi - 1) if leader is None else [lo + leader % (hi - lo)]:
+                    other = np.arange(k + 1 if leader is None else lo, hi)
+                    small, large = np.minimum(size[other], size[k]), np.maximum(size[other], size[k])
+                    other = other[(root[other] != root[k]) & (small >= similarity * large) & (np.maximum(own[other], own[k]) == level[k])]
+                    other = other[np.bitwise_count(bits[other] ^ bits[k]).sum(1) <= differing(size[other] + size[k], similarity)]
+                    if len(other):
+                        held.append((np.full(len(other), rid[k]), rid[other]))
+                        many += len(other)
+                    if many >= STEP_ROWS:
+                        yield out()
+                        many = 0
+        if held:
+            yield out()
+
+    return run
+
+
+SKETCH_WORDS = [f"s{k}" for k in range(SKETCH)]
+
+
+def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = np.array([sketch(np.frombuffer(g.as_buffer(), "<u4")) for g in b.column("grams")], np.uint64).reshape(-1, SKETCH).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("size"), *[pa.array(words[:, k].copy()) for k in range(SKETCH)]], ["rid", "size", *SKETCH_WORDS])
+
+
+#: Rounds in which each group of a key compares its members with one of them, before all that is still apart is compared.
+LEADERS = 1
+
+
+def connected(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) after ``links`` (a, b; of rows that have the similarity) and every other link that has it. grams: a saved table of rid, grams.
+
+    Rows of one set are one class. Keys that more than one class has are kept; members of such a key are compared unless they are connected already, first with
+    one member each, as that connects most, then all with all: no size of a group ends the search.
+    """
+    spark, size = grams.sparkSession, table_bytes(grams)
+    known = grams.select("rid", F.xxhash64("grams").alias("set"), (F.length("grams") / 4).cast("int").alias("size"))
+    sets = saved(known.groupBy("set", "size").agg(F.min("rid").alias("first")), "sets")
+    copies = saved(known.join(sets, ["set", "size"]).filter("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b")), "copies")
+    links = saved(links.union(copies), "alike")
+    roots = components(links)
+    each = grams.withColumn("size", (F.length("grams") / 4).cast("int")).join(copies.select(F.col("b").alias("rid")), "rid", "left_anti")
+    keys = each.mapInArrow(_key_rows(similarity), "key long, rid long").repartition(tasks_for(spark, 2 * size), "key").sortWithinPartitions("key")
+    keys = saved(keys.mapInArrow(_repeated_keys, "key long, rid long"), "keys")
+    facts = saved(each.mapInArrow(_with_sketch, "rid long, size int, " + ", ".join(f"{w} long" for w in SKETCH_WORDS)), "sketches")
+    for leader in [*range(LEADERS), None]:
+        known = facts.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        rows = keys.join(known, "rid").select("key", "rid", "root", "size", *SKETCH_WORDS)
+        rows = rows.repartition(tasks_for(spark, 2 * table_bytes(keys)), "key").sortWithinPartitions("key", "rid")
+        pairs = saved(rows.mapInArrow(_pairs_apart(similarity, leader), "a long, b long").distinct(), "pairs-apart")
+        more = saved(alike(pairs, grams, similarity), "alike")
+        if more.take(1):
+            links = links.union(more)
+            roots = components(links)
+    return roots
+
+
 def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, text: str = "text") -> DataFrame:
     """doc_id, digest, rid, root for each row of ``docs``: rows of one root are connected by links of ``similarity`` or more (Jaccard, over sets of shingles).
 
-    Rows without words are alike, rows of fewer words than a shingle have one shingle. Equal texts share a root. Null texts count as empty; null doc_ids and
+    Every such link counts, whether fingerprints find it or not. Rows without words are alike, rows of fewer words than a shingle have one shingle. Equal texts share a root. Null texts count as empty; null doc_ids and
     equal ones are rows of their own; an empty table gives an empty result; other columns are ignored. A text's shingles are held whole.
     """
 
@@ -448,15 +662,6 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
                 fp = simhash(part.column("text").to_pylist(), words, sets)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(fp.view(np.int64)), pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary())], ["doc_id", "digest", "fp", "grams"])
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for one, two in zip(b.column("one"), b.column("two")):
-                x, y = (np.frombuffer(s.as_buffer(), "<u4") for s in (one, two))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of(text)).alias("digest"), F.col(text).alias("text"))
     prints = saved(spread(rows).mapInArrow(run, "doc_id long, digest long, fp long, grams binary").withColumn("rid", F.monotonically_increasing_id()), "similar")
     classes = saved(prints.groupBy("fp").agg(F.min("rid").alias("first")), "similar-classes")
@@ -464,8 +669,7 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     within = prints.select("fp", "rid").join(classes, "fp").filter("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b"))
     links = saved(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(within), "candidates")  # a table: AQE splits hot classes
     grams = prints.select("rid", "grams")
-    both = links.join(grams.toDF("a", "one"), "a").join(grams.toDF("b", "two"), "b")
-    roots = components(both.mapInArrow(alike, "a long, b long"))
+    roots = connected(alike(links, grams, similarity), grams, similarity)
     return prints.select("doc_id", "digest", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("doc_id", "digest", "rid", F.coalesce("root", "rid").alias("root"))
 
 

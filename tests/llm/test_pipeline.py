@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline as C
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from deskdb.llm import mixing, quality, simhash
 from deskdb.llm.common import documents, saved
@@ -106,6 +107,63 @@ def test_similar_rows_are_those_of_brute_force(spark):
     assert pairs.sum() > 60 and (same & pairs).sum() >= 0.95 * pairs.sum()
 
 
+def test_similar_rows_that_fingerprints_miss(spark):
+    """Links of 0.8 and more whose fingerprints differ in more bits than the index searches, and such behind a row of their own fingerprint: all are connected."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    pairs = []
+    while len(pairs) < 25:
+        words = [word() for _ in range(9)]
+        texts = [" ".join(words), " ".join(words[:8])]
+        one, two = (int(f) for f in simhash.simhash(texts, simhash.SIMILAR_WORDS))
+        if (one ^ two).bit_count() > simhash.REACH:
+            pairs.append(texts)
+    assert all(slow_similar(p).all() for p in pairs)
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_rows(spark.createDataFrame([(k, t) for k, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")).collect()}
+    assert len(got) == 50 and all(got[2 * k] == got[2 * k + 1] for k in range(25)) and len(set(got.values())) == 25
+    kept = simhash.one_of_similar(spark.createDataFrame([(k, t) for k, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == set(range(0, 50, 2))
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.6, 0.9])
+def test_similar_sets_have_a_key_in_common(similarity):
+    rng, seen = np.random.default_rng(3), 0
+    for _ in range(4000):
+        x = np.unique(rng.integers(0, 2**32, int(rng.integers(1, 90)), dtype=np.uint32))
+        y = np.unique(np.concatenate([rng.permutation(x)[rng.integers(0, len(x) // 4 + 1) :], rng.integers(0, 2**32, rng.integers(0, len(x) // 4 + 1), dtype=np.uint32)]))
+        both = len(np.intersect1d(x, y))
+        if both < len(x) + len(y) - both and both >= similarity * (len(x) + len(y) - both):
+            seen += 1
+            assert len(np.intersect1d(simhash.part_keys(x, similarity), simhash.part_keys(y, similarity)))
+    assert seen > 100
+
+
+@pytest.mark.parametrize("leaders", [0, 1])
+def test_no_link_of_similar_rows_is_left_out(spark, monkeypatch, leaders):
+    """Without any link by fingerprints, and with a group in which all share keys but few are similar: the components of brute force."""
+    monkeypatch.setattr(simhash, "similar_candidates", lambda classes, n: classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0))
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts, base = [], [word() for _ in range(60)]
+    for _ in range(150):
+        k, n = rng.randint(0, 20), rng.randint(1, 12)
+        texts.append([*base[k:], *[word() for _ in range(n)]])
+    for _ in range(60):
+        own = [word() for _ in range(rng.randint(1, 80))]
+        texts += [own, own, [*own[rng.randint(0, 2) :], *[word() for _ in range(rng.randint(0, 8))]]]
+    texts = [" ".join(t) for t in texts] + ["", None, " \t"]
+    near = slow_similar(texts)
+    while True:
+        further = (near.astype(int) @ near.astype(int)) > 0
+        if (further == near).all():
+            break
+        near = further
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    same = np.array([[got[i] == got[j] for j in range(len(texts))] for i in range(len(texts))])
+    assert (same == near).all()
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_spanning_forest_is_least(seed):
     rng = np.random.default_rng(seed)
