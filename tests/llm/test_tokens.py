@@ -38,6 +38,33 @@ def test_same_ids_as_the_library(plain, monkeypatch, step, memo):
         assert ids.tolist() == plain(t), repr(t)
 
 
+@pytest.mark.parametrize("step,memo", [(4_000_000, 700_000), (90, 8)])
+def test_marks_behind_words(plain, monkeypatch, step, memo):
+    monkeypatch.setattr(T, "STEP_CHARS", step)
+    monkeypatch.setattr(T, "MEMO_WORDS", memo)
+    rng = random.Random(3)
+    words = ["word", "été", "Ärger", "naïve", "×", "ſ", "b1", "don't", "日本", "I'll", "", "the", "x\u00a0", "\u3000y", "<|endoftext|>", "ŒUVRE", "e\u0301"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ".", ",", "?", "!", ";", ":", "..", ".'s", "'s.", ")", ".\n", "\u2028"]) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    for (k, ids), t in zip(T.encoded(texts, T.public_path()), texts, strict=True):
+        assert ids.tolist() == plain(t), repr(t)
+
+
+def test_a_word_with_and_without_marks_is_learned_once(plain):
+    encoder = T.WordEncoder(T.public_path())
+    ids, counts = encoder.encode(["a word word. word, word! word?", "Été word; word:"])
+    assert ids.tolist() == plain("a word word. word, word! word?") + plain("Été word; word:") and counts.sum() == len(ids)
+    assert list(encoder.memo) == ["a", "word", "Été"]
+
+
+def test_odd_words_are_those_with_white_space_at_an_end():
+    words = ["", "a", " a", "a\n", "\u00a0a", "a\u3000", "\x1ca", "a\x85", "é", "éa", "aé", "日本", "a b", "\x00", "\x7f", "\u200b"]
+    odd = [not w or w[0].isspace() or w[-1].isspace() for w in words]
+    assert T.odd_words(pa.array(words, pa.large_string())).tolist() == odd
+    assert T.odd_words(pa.array(words, pa.large_string()).slice(2, 9)).tolist() == odd[2:11]
+    assert T.odd_words(pa.array(["", ""], pa.large_string())).tolist() == [True, True]
+    assert T.odd_words(pa.array([], pa.large_string())).tolist() == []
+
+
 class Held(BytesIO):
     def size(self):
         return len(self.getvalue())
