@@ -56,6 +56,16 @@ def test_a_word_with_and_without_marks_is_learned_once(plain):
     assert list(encoder.memo) == ["a", "word", "Été"]
 
 
+def test_packing_meets_each_word_once_with_any_mark(plain, monkeypatch):
+    asked = []
+    monkeypatch.setattr(T.WordEncoder, "_learn", lambda self, words, of=T.WordEncoder._learn: asked.extend(words) or of(self, words))
+    monkeypatch.setattr(T.WordEncoder, "_made", {})
+    rng = random.Random(5)
+    texts = [" ".join(f"wort{'abcdefghij'[rng.randrange(10)]}" + rng.choice(["", ".", ",", "!"]) for _ in range(40)) for _ in range(50)]
+    assert [x.tolist() for _, x in T.encoded(pa.array(texts), T.public_path())] == [plain(t) for t in texts]
+    assert sorted(asked) == [f"wort{c}" for c in "abcdefghij"]
+
+
 def test_odd_words_are_those_with_white_space_at_an_end():
     words = ["", "a", " a", "a\n", "\u00a0a", "a\u3000", "\x1ca", "a\x85", "é", "éa", "aé", "日本", "a b", "\x00", "\x7f", "\u200b"]
     odd = [not w or w[0].isspace() or w[-1].isspace() for w in words]
