@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from deskdb.llm.common import documents, keep_rows, saved, spread, table_bytes, tasks_for, text_of
+from deskdb.llm.common import documents, keep_rows, saved, shuffles_dropped, spread, table_bytes, tasks_for, text_of
 from deskdb.llm.components import components
 
 SEED, WORDS, BITS = 42, 4, 4
@@ -435,8 +435,19 @@ def similar_candidates(classes: DataFrame, n_classes: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def alike(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``links`` (a, b) whose rows' sets have the similarity. grams: rid, grams (sorted 32-bit hashes)."""
+#: Rows up to which those that are to be compared go to all tasks, so that other rows' sets stay where they are.
+FEW_ROWS = 250_000
+
+
+def alike(links: DataFrame, grams: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``links`` (a, b) whose rows' sets have the similarity. grams: rid, grams (sorted 32-bit hashes); sketches: a saved table of them.
+
+    Sketches rule out nearly all others, so few sets are moved.
+    """
+    one, two = (sketches.select("rid", "size", "odd").toDF(k, f"size_{k}", f"odd_{k}") for k in ("a", "b"))
+    may = saved(links.join(one, "a").join(two, "b").mapInArrow(_may_be_alike(similarity), "a long, b long"), "may-be-alike")
+    rows = saved(may.select(F.col("a").alias("rid")).union(may.select("b")).distinct(), "compared")
+    grams = grams.join(F.broadcast(rows) if rows.count() <= FEW_ROWS else rows, "rid", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -447,7 +458,7 @@ def alike(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return links.join(grams.toDF("a", "one"), "a").join(grams.toDF("b", "two"), "b").mapInArrow(run, "a long, b long")
+    return may.join(grams.toDF("a", "one"), "a").join(grams.toDF("b", "two"), "b").mapInArrow(run, "a long, b long")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -484,6 +495,37 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<u8")
 
 
+#: Bits of a long sketch at most.
+MOST_ODD = 1 << 18
+
+
+def long_sketch(grams: np.ndarray) -> np.ndarray:
+    """As ``sketch``, with two to four bits for each hash (a power of two, 64 at least): exclusive or of its halves gives that of half as many bits."""
+    bits = min(max(64, 1 << (2 * len(grams) - 1).bit_length()), MOST_ODD)
+    odd = np.bincount(grams & np.uint32(bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _may_be_alike(similarity: float):
+    """Rows (a, b, their sizes and long sketches) to pairs whose sizes and sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, one, two in zip(b.column("size_a").to_pylist(), b.column("size_b").to_pylist(), b.column("odd_a"), b.column("odd_b")):
+                may = min(n, m) >= similarity * max(n, m)
+                if may:
+                    x, y = (np.frombuffer(s.as_buffer(), "<u8") for s in (one, two))
+                    while len(x) != len(y):
+                        x, y = (x, y) if len(x) > len(y) else (y, x)
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    may = int(np.bitwise_count(x ^ y).sum()) <= differing(n + m, similarity)
+                keep.append(may)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def part_keys(grams: np.ndarray, similarity: float) -> np.ndarray:
     """Keys (64-bit) of a set of sorted 32-bit hashes: any two different sets of the similarity have one in common.
 
@@ -610,10 +652,17 @@ def _pairs_apart(similarity: float, leader: int | None):
 SKETCH_WORDS = [f"s{k}" for k in range(SKETCH)]
 
 
-def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        words = np.array([sketch(np.frombuffer(g.as_buffer(), "<u4")) for g in b.column("grams")], np.uint64).reshape(-1, SKETCH).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("size"), *[pa.array(words[:, k].copy()) for k in range(SKETCH)]], ["rid", "size", *SKETCH_WORDS])
+def sketch_table(grams: DataFrame) -> DataFrame:
+    """rid, size, words of the sketch, odd (the long sketch) for each row of ``grams``. A saved table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(g.as_buffer(), "<u4") for g in b.column("grams")]
+            words = np.array([sketch(x) for x in sets], np.uint64).reshape(-1, SKETCH).view(np.int64)
+            cols = [b.column("rid"), pa.array([len(x) for x in sets], pa.int32()), *[pa.array(words[:, k].copy()) for k in range(SKETCH)], pa.array([long_sketch(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["rid", "size", *SKETCH_WORDS, "odd"])
+
+    return saved(grams.mapInArrow(run, "rid long, size int, " + ", ".join(f"{w} long" for w in SKETCH_WORDS) + ", odd binary"), "sketches")
 
 
 #: Rounds in which each group of a key compares its members with one of them, before all that is still apart is compared.
@@ -621,7 +670,7 @@ LEADERS = 1
 
 
 def connected(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) after ``links`` (a, b; of rows that have the similarity) and every other link that has it. grams: a saved table of rid, grams.
+    """(node, root) after those of ``links`` (a, b) that have the similarity, and every other link that has it. grams: a saved table of rid, grams.
 
     Rows of one set are one class. Keys that more than one class has are kept; members of such a key are compared unless they are connected already, first with
     one member each, as that connects most, then all with all: no size of a group ends the search.
@@ -630,18 +679,18 @@ def connected(links: DataFrame, grams: DataFrame, similarity: float) -> DataFram
     known = grams.select("rid", F.xxhash64("grams").alias("set"), (F.length("grams") / 4).cast("int").alias("size"))
     sets = saved(known.groupBy("set", "size").agg(F.min("rid").alias("first")), "sets")
     copies = saved(known.join(sets, ["set", "size"]).filter("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b")), "copies")
-    links = saved(links.union(copies), "alike")
+    sketches = sketch_table(grams)
+    links = saved(alike(links, grams, sketches, similarity).union(copies), "alike")
     roots = components(links)
-    each = grams.withColumn("size", (F.length("grams") / 4).cast("int")).join(copies.select(F.col("b").alias("rid")), "rid", "left_anti")
+    each = grams.join(copies.select(F.col("b").alias("rid")), "rid", "left_anti")
     keys = each.mapInArrow(_key_rows(similarity), "key long, rid long").repartition(tasks_for(spark, 2 * size), "key").sortWithinPartitions("key")
     keys = saved(keys.mapInArrow(_repeated_keys, "key long, rid long"), "keys")
-    facts = saved(each.mapInArrow(_with_sketch, "rid long, size int, " + ", ".join(f"{w} long" for w in SKETCH_WORDS)), "sketches")
     for leader in [*range(LEADERS), None]:
-        known = facts.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        known = sketches.drop("odd").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         rows = keys.join(known, "rid").select("key", "rid", "root", "size", *SKETCH_WORDS)
         rows = rows.repartition(tasks_for(spark, 2 * table_bytes(keys)), "key").sortWithinPartitions("key", "rid")
         pairs = saved(rows.mapInArrow(_pairs_apart(similarity, leader), "a long, b long").distinct(), "pairs-apart")
-        more = saved(alike(pairs, grams, similarity), "alike")
+        more = saved(alike(pairs, grams, sketches, similarity), "alike")
         if more.take(1):
             links = links.union(more)
             roots = components(links)
@@ -669,13 +718,14 @@ def similar_rows(docs: DataFrame, similarity: float = SIMILARITY, words: int = S
     within = prints.select("fp", "rid").join(classes, "fp").filter("rid <> first").select(F.col("first").alias("a"), F.col("rid").alias("b"))
     links = saved(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")).union(within), "candidates")  # a table: AQE splits hot classes
     grams = prints.select("rid", "grams")
-    roots = connected(alike(links, grams, similarity), grams, similarity)
+    roots = connected(links, grams, similarity)
     return prints.select("doc_id", "digest", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("doc_id", "digest", "rid", F.coalesce("root", "rid").alias("root"))
 
 
 def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, words: int = SIMILAR_WORDS, text: str = "text") -> DataFrame:
     """Of the rows of ``docs`` that similarity connects the one with the smallest doc_id (null last, then the first row), with all its columns."""
-    found = saved(similar_rows(docs, similarity, words, text), "near")
+    with shuffles_dropped(docs.sparkSession):
+        found = saved(similar_rows(docs, similarity, words, text), "near")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid", "digest")).alias("f")).select("f.doc_id", "f.digest")
     repeated = bool(found.groupBy("doc_id", "digest").count().filter("count > 1").take(1))
     return keep_rows(docs, first, {"doc_id": F.col("doc_id").cast("long"), "digest": F.xxhash64(text_of(text))}, repeated, text_of(text))
